@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from vitalis.plans import records
+
+QUERIES: dict = {**records.QUERIES}
+SQL: dict[str, str] = {**records.SQL}
 FLAGSHIP = "q03_process_by_org"
