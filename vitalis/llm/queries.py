@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalis.llm import bpe, packing, quality, topn
+from vitalis.llm import bpe, components, packing, quality, segments, topn, truth
 from vitalis.session import table
 
 
@@ -14,6 +15,33 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.freshest_examinations(table(spark, d, "examinations_view"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return truth.survivors(table(spark, d, "resolution_a"))
+
+
+def p3_fused(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of each field that is judged true; feeds are the interfaces that records came by."""
+    return truth.fused(table(spark, d, "resolution_a"), F.col("_mif"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.instruction_groups(table(spark, d, "resolution_i"))
+
+
+def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster of every appended record, known or new."""
+    log = table(spark, d, "append_id").where("schema_name = 'rim2011' and table_name = 'Person'")
+    return segments.append_batches(table(spark, d, "resolution_a"), log.select("id", "batch_no"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_clusters(spark, d).where("known").select("id", "id_cluster")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    return segments.near_identifiers(table(spark, d, "resolution_a"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -37,7 +65,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_statistics)
+    f.__name__: f for f in (p1_found, p3_found, p3_fused, p6_found, p7_found, p7_clusters, p7_near, p8_ids, p8_decoded, p9_containers, p10_found, p10_statistics)
 }
 
 SQL: dict[str, str] = {
@@ -47,4 +75,10 @@ SQL: dict[str, str] = {
         SELECT peso_id, code, act_id, rocky FROM (
             SELECT peso_id, code, act_id, row_number() OVER (PARTITION BY peso_id, code ORDER BY effective_time_low DESC NULLS LAST, act_id DESC) AS rocky
             FROM named WHERE peso_id IS NOT NULL AND code IS NOT NULL) WHERE rocky <= 3""",
+    "p6_found": r"""
+        WITH RECURSIVE named AS (SELECT DISTINCT list_distinct(list_filter([_id, _id_cluster, dedup_new_id], x -> x > 0)) AS r FROM resolution_i),
+        pairs AS (SELECT DISTINCT a, b FROM (SELECT r[1] AS a, unnest(r) AS b FROM named)),
+        both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+        reach AS (SELECT DISTINCT a AS record_id, a AS seen FROM both_ways UNION SELECT reach.record_id, b FROM reach JOIN both_ways ON both_ways.a = reach.seen)
+        SELECT record_id, min(seen) AS group_id FROM reach GROUP BY record_id""",
 }
