@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from vitalis.plans import records
+from vitalis.plans import process, records, trends, warehouse
 
-QUERIES: dict = {**records.QUERIES}
-SQL: dict[str, str] = {**records.SQL}
+_MODULES = (process, trends, warehouse, records)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()}
 FLAGSHIP = "q03_process_by_org"
