@@ -76,7 +76,7 @@ SQL: dict[str, str] = {
             SELECT peso_id, code, act_id, row_number() OVER (PARTITION BY peso_id, code ORDER BY effective_time_low DESC NULLS LAST, act_id DESC) AS rocky
             FROM named WHERE peso_id IS NOT NULL AND code IS NOT NULL) WHERE rocky <= 3""",
     "p6_found": r"""
-        WITH RECURSIVE named AS (SELECT DISTINCT list_distinct(list_filter([_id, _id_cluster, dedup_new_id], x -> x > 0)) AS r FROM resolution_i),
+        WITH RECURSIVE named AS (SELECT DISTINCT list_distinct(list_filter([_id, _id_cluster, dedup_new_id], lambda x: x > 0)) AS r FROM resolution_i),
         pairs AS (SELECT DISTINCT a, b FROM (SELECT r[1] AS a, unnest(r) AS b FROM named)),
         both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
         reach AS (SELECT DISTINCT a AS record_id, a AS seen FROM both_ways UNION SELECT reach.record_id, b FROM reach JOIN both_ways ON both_ways.a = reach.seen)
