@@ -44,8 +44,9 @@ def wide_table(df: DataFrame, entity: list[str], key: str, value: str, at: str,
     maps = entity_maps(df, entity, key, value, at)
     path = f"{shared_dir(spark)}/wide-{uuid.uuid4().hex}"
     signature = F.md5(F.concat_ws("\u0001", F.map_keys("attributes")))
-    maps.withColumn("__signature", signature).write.partitionBy("__signature").parquet(path)
-    stored = spark.read.parquet(path)
+    signed = maps.withColumn("__signature", signature)
+    signed.write.partitionBy("__signature").parquet(path)
+    stored = spark.read.schema(signed.schema).parquet(path)  # also where there is nothing to read a schema from
     sets = stored.groupBy("__signature").agg(F.count(F.lit(1)).alias("n"), F.first(F.map_keys("attributes")).alias("keys"))
     common = sets.orderBy(F.desc("n"), "__signature").limit(MOST_TABLES).collect()
     rare = []

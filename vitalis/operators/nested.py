@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from vitalis.session import ship
+
 
 def _not_standard(name: str):
     raise ValueError(f"{name} is no JSON")
@@ -200,6 +202,7 @@ def node_table(df: DataFrame, id_col: str, doc_col: str, type_member: str) -> Da
             yield pa.record_batch([pa.array(columns[0], arrow or batch.schema.types[0]), *[pa.array(c, pa.string()) for c in columns[1:4]], *[pa.array(c, pa.int64()) for c in columns[4:]]], names)
 
     names = schema.names
+    ship(df.sparkSession)
     return df.select(F.col(id_col), F.col(doc_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.functions.quantities import Conversion, Reader
-from vitalis.session import bounded_rows
+from vitalis.session import bounded_rows, ship
 
 #: The reference of units is sent to all executors; it may not have more rows than this.
 MOST_CONVERSIONS = 20_000
@@ -45,6 +45,7 @@ def readers_of(reference: DataFrame) -> dict[str, Reader]:
 
 def read_quantities(rows: DataFrame, reference: DataFrame, id_col: str, code_col: str, value_col: str, unit_col: str, text_col: str, time_col: str) -> DataFrame:
     """(id, code, time, numbers, units, stated): what each row states; units has nulls where none is listed or stated."""
+    ship(rows.sparkSession)
     readers = rows.sparkSession.sparkContext.broadcast(readers_of(reference))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,7 @@ class Decoder:
 def common_units(read: DataFrame, reference: DataFrame) -> DataFrame:
     """(id, code, decoded_unit, stated, unit, value_scaled) of what read_quantities gave."""
     spark = read.sparkSession
+    ship(spark)
     readers = readers_of(reference)
     conv = reference.select(F.trim("code").alias("code"), F.col("unit").alias("u"), F.col("factor").cast("double").alias("f"), F.col("shift").cast("double").alias("s"))
     one = read.where("stated and size(numbers) = 1").select("code", F.col("units")[0].alias("u"), F.col("numbers")[0].cast("double").alias("x"))

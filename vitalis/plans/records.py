@@ -53,4 +53,23 @@ def p5_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_links, p5_found, p5_decoded)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": r"""
+        WITH named AS (SELECT CAST(json_extract_string(row_name, '$.row_id') AS BIGINT) AS row_id, CAST(json_extract_string(row_name, '$.number') AS BIGINT) AS number, lower(trim(key)) AS key, value, _lake_timestamp FROM document_of_patient_sample),
+        latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, number, key ORDER BY _lake_timestamp DESC NULLS LAST, value DESC NULLS LAST) AS k FROM named) WHERE k = 1),
+        heads AS (SELECT row_id, number, key, CASE WHEN json_type(value) = 'ARRAY' THEN json_extract(value, '$[0]') ELSE CAST(value AS JSON) END AS j FROM latest),
+        parts AS (SELECT *, json_extract_string(j, '$.code') AS code, json_extract_string(j, '$.dataType') AS kind, json_extract_string(j, '$.value') AS v, CASE WHEN json_type(j) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(j, '$') END AS plain,
+            coalesce(json_extract_string(j, '$.low.value'), CASE WHEN json_type(json_extract(j, '$.low')) = 'VARCHAR' THEN json_extract_string(j, '$.low') END) AS low FROM heads),
+        texts AS (SELECT *, trim(coalesce(v, plain)) AS t, trim(replace(coalesce(v, plain), ',', '.')) AS n FROM parts),
+        typed AS (SELECT row_id, number, key, trim(coalesce(code, plain)) AS coded, kind, lower(trim(coalesce(plain, v))) AS flag, regexp_replace(regexp_extract(coalesce(low, v, plain), '^\s*(\d{4}(?:-?\d{2}){0,2}(?:[T ]?\d{2}(?::?\d{2}){0,2})?)', 1), '\D', '', 'g') AS digits,
+            CASE WHEN kind IN ('PQ', 'INT', 'REAL') THEN CASE WHEN regexp_matches(n, '\.') THEN regexp_replace(regexp_replace(n, '0+$', ''), '\.$', '') ELSE n END WHEN kind IN ('CD', 'CV', 'CE') THEN trim(code) WHEN kind = 'BL' THEN lower(t) ELSE t END AS text FROM texts)
+        SELECT row_id, number, coalesce(max(coded) FILTER (key = 'code'), '') AS code, coalesce(max(coded) FILTER (key = 'statuscode'), '') AS status_code, coalesce(max(kind) FILTER (key = 'value'), '') AS value_type, coalesce(max(text) FILTER (key = 'value'), '') AS value_text,
+            coalesce(max(CASE flag WHEN '1' THEN 'true' WHEN '0' THEN 'false' ELSE flag END) FILTER (key = 'negationind'), '') AS negation, coalesce(max(CASE WHEN digits <> '' THEN rpad(digits, 14, '0') END) FILTER (key = 'effectivetime'), '') AS time_low
+        FROM typed GROUP BY row_id, number""",
+    "p4_found": r"""
+        WITH one AS (SELECT id, document FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY _lake_timestamp DESC NULLS LAST, document DESC NULLS LAST) AS k FROM document_template WHERE id IS NOT NULL) WHERE k = 1),
+        opened AS (SELECT id, CASE WHEN json_valid(document) THEN CASE WHEN json_type(document) = 'VARCHAR' THEN json_extract_string(document, '$') ELSE document END END AS doc FROM one),
+        nodes AS (SELECT o.id AS row_id, t.id AS n, t.parent AS up, replace(t.fullkey, '"', '') AS path, CASE WHEN t.type = 'OBJECT' AND json_type(json_extract(t.value, '$._rimname')) = 'VARCHAR' THEN nullif(json_extract_string(t.value, '$._rimname'), '') END AS rim_name FROM opened o, json_tree(CASE WHEN json_valid(doc) THEN doc END) t)
+        SELECT row_id, path, coalesce((SELECT arg_max(p.path, length(p.path)) FROM nodes p WHERE p.row_id = nodes.row_id AND p.rim_name IS NOT NULL AND length(p.path) < length(nodes.path) AND starts_with(nodes.path, p.path) AND substr(nodes.path, length(p.path) + 1, 1) IN ('.', '[')), '') AS parent_path, rim_name
+        FROM nodes WHERE rim_name IS NOT NULL""",
+}

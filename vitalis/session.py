@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,23 @@ def build_session(app: str = "vitalis", master: str | None = None, cpus: int | N
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application: their Python workers need it, wherever the driver runs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vitalis_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    handle, path = tempfile.mkstemp(prefix="vitalis-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join("vitalis", os.path.relpath(os.path.join(folder, f), home)))
+    sc.addPyFile(path)
+    sc._vitalis_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
