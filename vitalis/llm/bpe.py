@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalis.session import bounded_file
+from vitalis.session import bounded_file, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the pre-tokenisation pattern published with this vocabulary
@@ -191,6 +191,7 @@ def texts_of(column) -> list:
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, ids): the token ids of each row's text. Narrow: no shuffle, only the two columns are read."""
+    ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(bounded_file(vocabulary, MOST_VOCABULARY_BYTES))
     kind = df.schema[id_col].dataType
 
@@ -209,6 +210,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens) without building the ids."""
+    ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(bounded_file(vocabulary, MOST_VOCABULARY_BYTES))
     kind = df.schema[id_col].dataType
 
@@ -223,6 +225,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, text): the inverse of encode_corpus; a null list gives null, an empty one the empty text."""
+    ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(bounded_file(vocabulary, MOST_VOCABULARY_BYTES))
     kind = df.schema[id_col].dataType
 

@@ -6,8 +6,7 @@
    partitions before it. The offsets come from one row per partition and (statistic, language) that lies in it; nothing goes to the driver.
 3. score(): of each statistic the empirical probability of a value at least as extreme, on the side where text stops
    being prose; the score is the mean of -ln over the statistics. Long tails of one statistic thus count with those of others.
-4. kinds(): what a document mainly is; a document whose running text isn't the larger part and whose score is above the
-   floor is no prose.
+4. kinds(): what a document mainly is; where running text is about half of it, the score decides.
 
 Defined results: null, empty and blank texts have statistics of 0, no rank, and are no case. Null language: "und".
 Ids are unique; of repeated ones the larger tail counts. Ties share the rank of the last among equals. Columns other than the id, the
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 
 from vitalis.llm.bpe import texts_of
 from vitalis.llm.textstats import NAMES, SPANISH, statistics
-from vitalis.session import bounded_rows, cut
+from vitalis.session import bounded_rows, cut, ship
 
 #: The table of common words is sent to all executors; it may not have more rows than this.
 MOST_COMMON_WORDS = 20_000
@@ -37,8 +36,10 @@ SIDES = {
 }
 #: Values are ranked at this number of decimals.
 DECIMALS = 4
-#: A document with a smaller score is like the bulk of its language in every statistic.
-SCORE_FLOOR = 0.1
+#: Shares of running text between which the score decides whether it is the main part; above it is, below it isn't.
+DOUBT = (0.45, 0.6)
+#: The score from which a doubtful document is no prose.
+OUTLIER = 0.8
 #: Share of distinct sentences under which running text is one sentence over and over.
 REPEATED = 0.34
 
@@ -51,6 +52,7 @@ def language(col: str | F.Column) -> F.Column:
 
 def describe(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, blank, n_words, ...): one row per document, with the statistics of textstats.NAMES."""
+    ship(docs.sparkSession)
     words = {r[0].strip().lower() for r in bounded_rows(common.where("word is not null").select("word"), MOST_COMMON_WORDS, "common words")}
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(words | set(SPANISH)))
     kind = docs.schema[id_col].dataType
@@ -74,6 +76,7 @@ def ranks(values: DataFrame, group: list[str], value: str) -> DataFrame:
 
     values has one row per observation; null values are not ranked.
     """
+    ship(values.sparkSession)
     counted = values.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
     ordered = cut(counted.repartitionByRange(*group, value).sortWithinPartitions(*group, value).withColumn("__part", F.spark_partition_id()))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
@@ -126,10 +129,8 @@ def score(described: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def kinds(scored: DataFrame) -> DataFrame:
     """scored with kind: prose, list, table or junk; null for blank documents."""
     repeated = (F.col("distinct_sentences") < REPEATED) & (F.col("running_share") > 0.3)
-    most = F.greatest("running_share", "list_share", "table_share", "junk_share")
-    main = (
-        F.when(repeated, "junk").when(F.col("running_share") == most, "prose").when(F.col("junk_share") == most, "junk")
-        .when(F.col("table_share") == most, "table").otherwise("list")
-    )
-    prose = F.col("outlier_score") < SCORE_FLOOR
-    return scored.withColumn("kind", F.when(F.col("blank"), None).when(prose, "prose").otherwise(main))
+    running, score = F.col("running_share"), F.col("outlier_score")
+    most = F.greatest("list_share", "table_share", "junk_share")
+    other = F.when(F.col("junk_share") == most, "junk").when(F.col("table_share") == most, "table").otherwise("list")
+    prose = (running > DOUBT[1]) | (running >= DOUBT[0]) & (score < OUTLIER)
+    return scored.withColumn("kind", F.when(F.col("blank"), None).when(repeated, "junk").when(prose, "prose").otherwise(other))

@@ -75,6 +75,16 @@ SQL: dict[str, str] = {
         SELECT peso_id, code, act_id, rocky FROM (
             SELECT peso_id, code, act_id, row_number() OVER (PARTITION BY peso_id, code ORDER BY effective_time_low DESC NULLS LAST, act_id DESC) AS rocky
             FROM named WHERE peso_id IS NOT NULL AND code IS NOT NULL) WHERE rocky <= 3""",
+    "p3_found": r"""
+        WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY _lake_timestamp DESC NULLS LAST, _id_cluster DESC NULLS LAST, _record_weight DESC NULLS LAST, name DESC NULLS LAST, birth_time DESC NULLS LAST, addr DESC NULLS LAST, telecom DESC NULLS LAST) AS k FROM resolution_a WHERE _id IS NOT NULL) WHERE k = 1 AND _id_cluster IS NOT NULL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY _id_cluster ORDER BY coalesce(_record_weight, 0) DESC, _lake_timestamp DESC NULLS LAST, _id) AS r FROM one),
+        nothing(v) AS (VALUES (''), ('-'), ('.'), ('?'), ('??'), ('xxx'), ('n/a'), ('nvt'), ('n.n.'), ('unknown'), ('onbekend'), ('onbekend, onbekend'), ('naam volgt'), ('adres onbekend'), ('geen'), ('tel:'), ('0000000000'), ('9999999999'))
+        SELECT _id_cluster AS id_cluster, arg_min(_id, r) AS survivor_id,
+            coalesce(arg_min(_id, r) FILTER (lower(trim(name)) NOT IN (SELECT v FROM nothing)), 0) AS name_id,
+            coalesce(arg_min(_id, r) FILTER (birth_time <> TIMESTAMP '1900-01-01'), 0) AS birth_id,
+            coalesce(arg_min(_id, r) FILTER (lower(trim(addr)) NOT IN (SELECT v FROM nothing)), 0) AS addr_id,
+            coalesce(arg_min(_id, r) FILTER (lower(trim(telecom)) NOT IN (SELECT v FROM nothing)), 0) AS telecom_id
+        FROM ranked GROUP BY _id_cluster HAVING count(*) > 1""",
     "p6_found": r"""
         WITH RECURSIVE named AS (SELECT DISTINCT list_distinct(list_filter([_id, _id_cluster, dedup_new_id], lambda x: x > 0)) AS r FROM resolution_i),
         pairs AS (SELECT DISTINCT a, b FROM (SELECT r[1] AS a, unnest(r) AS b FROM named)),
