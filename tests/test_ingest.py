@@ -86,3 +86,45 @@ def test_generated_rows(spark):
     people = spark.createDataFrame([(1, "1950-01-01")], "i long, b string").withColumn("b", F.to_date("b"))
     v = bayes.visits(people, {50: 3, 51: 0, 90: 2}, "b", "2010-01-01")
     assert v.count() == 3 and v.columns == ["i", "b", "age", "exam_date"]
+
+
+def test_gate_has_hysteresis():
+    from vitalis.streaming.flow import Gate
+
+    g = Gate(4)
+    assert all(g.sent() for _ in range(4)) and not g.sent()
+    assert not g.done() and not g.done() and not g.done() and g.done()
+    assert g.in_flight == 1
+
+
+def test_counters_of_a_stream(spark, tmp_path):
+    import time
+
+    from vitalis.streaming.flow import Counters
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.xml").write_text(CDA)
+    c = Counters()
+    spark.streams.addListener(c)
+    try:
+        message_stream(spark, str(source)).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(50):
+            if c.batches:
+                break
+            time.sleep(0.2)
+        assert c.read()["rows"] == 1 and c.read()["batches"] == 0
+    finally:
+        spark.streams.removeListener(c)
+
+
+def test_rows_that_break_the_schema_document(spark, tmp_path):
+    from vitalis.sources.files import unit_table, xml_rows
+
+    (tmp_path / "e.xsd").write_text('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="error"><xs:complexType><xs:sequence><xs:element name="type" type="xs:string"/><xs:element name="n" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+    (tmp_path / "m.xml").write_text("<all><error><type>a</type><n>1</n></error><error><type>b</type><n>x</n></error></all>")
+    out = xml_rows(spark, f"{tmp_path}/m.xml", "error", "type string, n string", f"{tmp_path}/e.xsd").cache()
+    assert [(r["type"], r["_corrupt_record"] is None) for r in out.collect()][0] == ("a", True)
+    assert out.where("_corrupt_record is not null").count() == 1
+    (tmp_path / "u.csv").write_text("code,unit\nA,kg\n,m\n")
+    assert [tuple(r) for r in unit_table(spark, f"{tmp_path}/u.csv").collect()] == [("A", "kg")]

@@ -59,6 +59,12 @@ def q21_tabular(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy("ptnt_id", "t0").agg(*columns)
 
 
+def crosstab_last(spark: SparkSession, d: str) -> DataFrame:
+    """A column per listed code with its last coded value by time and act; codes that aren't listed are left out."""
+    o = V.observations(spark, d).withColumn("place", F.struct("time", "act_id"))
+    return research.pivoted(o, ["ptnt_id"], "code", "coded_value", "place", ["click", "view", "absent"])
+
+
 def _quasi(spark: SparkSession, d: str) -> DataFrame:
     latest = history.latest_of(V.observations(spark, d).where("code = 'signup'"), ["ptnt_id"]).select("ptnt_id", F.col("coded_value").alias("smok_lv"))
     p = V.persons(spark, d).select(F.col("_id").alias("ptnt_id"), "gender", F.floor((2024 - F.year("birth_date")) / 10).cast("long").alias("age_decade"))
@@ -259,7 +265,7 @@ _SAMPLE = "CAST(('0x' || substr(md5({k} || '-{s}'), 1, 8)) AS BIGINT) < {n}"
 QUERIES = {
     f.__name__: f
     for f in (
-        q17_pseudonym, q18_base_values, q20_features, q21_tabular, q22_risk_classes, q22_share_at_risk, q23_json_probe, dedup_org, weight_hash, act_descend, conduct_context,
+        q17_pseudonym, q18_base_values, q20_features, q21_tabular, crosstab_last, q22_risk_classes, q22_share_at_risk, q23_json_probe, dedup_org, weight_hash, act_descend, conduct_context,
         er_resolve, er_rewrite, optout, secure_view, sample_hash, setops, topk, template_match, scan_only, unit_compare, denormalise, id_overlap, change_log, row_number_all, message_interval,
     )
 }
@@ -273,6 +279,8 @@ SQL = {
         b AS (SELECT *, (epoch_us(t0) - epoch_us(time)) // 86400000000 AS days FROM r WHERE time <= t0),
         k AS (SELECT *, rank() OVER (PARTITION BY ptnt_id, code, t0 ORDER BY days, act_id) AS near, count(*) OVER (PARTITION BY ptnt_id, code, t0) AS n, max(x) OVER (PARTITION BY ptnt_id, code, t0) AS most FROM b)
         SELECT ptnt_id, t0, """ + ", ".join(f"max(CASE WHEN code = '{c}' THEN {v} END) AS {c}_{n}" for c in TABULAR for v, n in (("x", "value"), ("days", "days"), ("n", "n"), ("most", "most"))) + " FROM k WHERE near = 1 GROUP BY ptnt_id, t0"),
+    "crosstab_last": with_views("observations", """SELECT ptnt_id, arg_max(coded_value, struct_pack(t := time, a := act_id)) FILTER (code = 'click') AS click, arg_max(coded_value, struct_pack(t := time, a := act_id)) FILTER (code = 'view') AS view, CAST(NULL AS BIGINT) AS absent
+        FROM observations WHERE code IN ('click', 'view', 'absent') GROUP BY ptnt_id"""),
     "q22_risk_classes": with_views("observations persons", f"{_QUASI} SELECT age_decade, gender, smok_lv, fk, round(CAST(1 AS DOUBLE) / fk, 6) AS risk FROM cl ORDER BY fk, age_decade NULLS LAST, gender NULLS LAST, smok_lv NULLS LAST LIMIT 10"),
     "q22_share_at_risk": with_views("observations persons", f"{_QUASI} SELECT CAST(sum(CASE WHEN CAST(1 AS DOUBLE) / fk > 0.05 THEN fk ELSE 0 END) AS BIGINT) AS num, CAST(sum(fk) AS BIGINT) AS denom, round_even(CAST(sum(CASE WHEN CAST(1 AS DOUBLE) / fk > 0.05 THEN fk ELSE 0 END) AS DOUBLE) / sum(fk) * 100, 0) AS perc FROM cl"),
     "dedup_org": "WITH k AS (SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey, CAST(floor(s_acctbal / 1000) AS BIGINT)) AS kept FROM supplier) SELECT DISTINCT l_orderkey AS role_id, coalesce(kept, l_suppkey) AS scoper, l_suppkey AS scoper_original FROM lineitem LEFT JOIN k ON k.s_suppkey = l_suppkey",
