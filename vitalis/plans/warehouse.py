@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalis.functions import semantics as S
 from vitalis.operators import consent, graph, history, research, resolution, staging
+from vitalis.plans import records
 from vitalis.plans.observations import observations as document_observations
 from vitalis.session import table
 from vitalis.sources import rim_views as V
@@ -283,6 +284,7 @@ SQL = {
         FROM observations WHERE code IN ('click', 'view', 'absent') GROUP BY ptnt_id"""),
     "q22_risk_classes": with_views("observations persons", f"{_QUASI} SELECT age_decade, gender, smok_lv, fk, round(CAST(1 AS DOUBLE) / fk, 6) AS risk FROM cl ORDER BY fk, age_decade NULLS LAST, gender NULLS LAST, smok_lv NULLS LAST LIMIT 10"),
     "q22_share_at_risk": with_views("observations persons", f"{_QUASI} SELECT CAST(sum(CASE WHEN CAST(1 AS DOUBLE) / fk > 0.05 THEN fk ELSE 0 END) AS BIGINT) AS num, CAST(sum(fk) AS BIGINT) AS denom, round_even(CAST(sum(CASE WHEN CAST(1 AS DOUBLE) / fk > 0.05 THEN fk ELSE 0 END) AS DOUBLE) / sum(fk) * 100, 0) AS perc FROM cl"),
+    "q23_json_probe": f"SELECT code, value_type, status_code, count(*) AS n FROM ({records.SQL['p2_found']}) GROUP BY code, value_type, status_code",
     "dedup_org": "WITH k AS (SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey, CAST(floor(s_acctbal / 1000) AS BIGINT)) AS kept FROM supplier) SELECT DISTINCT l_orderkey AS role_id, coalesce(kept, l_suppkey) AS scoper, l_suppkey AS scoper_original FROM lineitem LEFT JOIN k ON k.s_suppkey = l_suppkey",
     "weight_hash": """SELECT min(_id) AS first, count(*) AS alike, CAST(max(CASE WHEN _mif LIKE 'TZDU%' THEN 2000 ELSE 0 END + CASE WHEN len(id) > 0 THEN 1000 ELSE 0 END + CASE WHEN name IS NOT NULL THEN 100 ELSE 0 END
         + (_mif IS NOT NULL)::INT + (birth_time IS NOT NULL)::INT + (gender IS NOT NULL)::INT + (addr IS NOT NULL)::INT + (telecom IS NOT NULL)::INT) AS BIGINT) AS heaviest FROM resolution_a GROUP BY name, birth_time, gender, addr, telecom""",
