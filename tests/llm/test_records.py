@@ -186,3 +186,42 @@ def test_batches_against_history(spark):
     assert out == {2: (1, True), 3: (3, False), 4: (1, True), 5: (1, True), 6: (6, False), 7: (7, False), 8: (7, False), 9: (9, False), 10: (7, True), 11: (3, True)}
     assert segments.append_batches(df.limit(0), log).count() == 0
     assert segments.append_batches(df, log.limit(0)).count() == 0
+
+
+def _letters(k):
+    """A word that is more than two edits from that of any other number below 676."""
+    return chr(97 + k // 26) * 3 + chr(97 + k % 26) * 3
+
+
+def test_identifier_of_very_many_names(spark):
+    t = D(2020, 1, 1)
+    ident = [("R", "55667788")]
+    data = [(k, k, ident, f"{_letters(k).title()} {_letters(675 - k).title()}", D(1900 + k % 100, 1 + k % 12, 3), "F", f"{_letters(k)} {k}, Town", None, t) for k in range(1, 131)]
+    data += [(k, 7, ident, data[6][3], data[6][4], "F", data[6][6], None, t) for k in range(140, 145)]
+    name, b = data[49][3], data[49][4]
+    data += [
+        (1001, None, ident, name + "x", b.replace(day=13), "F", "Moved 1, City", None, t),  # mistyped and moved
+        (1002, None, ident, f"{name[0]}. {name.split()[1]}", None, "F", None, None, t),  # an initial, no date
+        (1003, None, ident, None, b.replace(year=b.year + 1), None, None, None, t),  # no name, a year off
+        (1004, None, ident, "Zoë Quite Other", D(2011, 11, 30), "M", None, None, t),
+        (1005, None, ident, "Quite-Other, Zoe", D(2011, 11, 30), "M", None, None, t),
+        (1006, None, ident, None, None, None, None, None, t),  # reference only: the person with most records
+        (1007, None, ident, None, None, None, f"{_letters(50)} 50 town", None, t),
+        (1008, None, ident, "Zoe Quite Other", D(2011, 11, 3), None, None, None, t),
+    ]
+    log = spark.createDataFrame([(k, 1) for k in range(1001, 1008)] + [(1008, 2)], "id long, batch_no long")
+    out = {r["id"]: (r["id_cluster"], r["known"]) for r in segments.append_batches(spark.createDataFrame(data, RECORD), log).collect()}
+    assert out == {1001: (50, True), 1002: (50, True), 1003: (50, True), 1004: (1004, False), 1005: (1004, False), 1006: (7, True), 1007: (50, True), 1008: (1004, True)}
+
+
+def test_blocking_keys_miss_no_agreeing_details(spark):
+    rng = random.Random(4)
+    names = ["Ann Lee", "An Leeh", "A. Lee", "Lee Ann", "Ann Lee-Smith", "Ann Smith", "Bob Jones", "Bo Jonas", "Maria de Vries", "Mariah Devries", "Vries", "Al", None, None]
+    births = [D(1950, 5, 5), D(1950, 5, 31), D(1950, 6, 4), D(1951, 5, 5), D(1949, 5, 5), D(1950, 12, 3), D(1950, 3, 12), D(1905, 5, 5), D(1960, 5, 5), D(1999, 12, 31), D(2000, 12, 30), D(2000, 1, 31), None, None]
+    data = [(k, None, [("R", "1234")], rng.choice(names), rng.choice(births), None, None, None, D(2020, 1, 1)) for k in range(150)]
+    rows = segments._profiled(segments._keyed(segments.features(spark.createDataFrame(data, RECORD)).withColumn("batch", F.lit(1)))).cache()
+    fits, _ = segments.agree("a", "b")
+    pairs = lambda a, b, on: {tuple(r) for r in a.alias("a").join(b.alias("b"), on).where(fits & F.expr("a.kind & b.kind <> 0")).select("a.id", "b.id").collect()}
+    on = segments._same_string("a", "b", "other", "key")
+    every = pairs(rows, rows, F.lit(True))
+    assert pairs(segments._blocking(rows, probe=True), segments._blocking(rows, probe=False), on) == every and len(every) < 150 * 150
