@@ -120,6 +120,25 @@ def test_model_recovers_quality():
     assert sum((m.truth(v) >= 0.5) == t for v, t in facts) > 0.9 * len(facts)
 
 
+@pytest.mark.parametrize("real", [0, 10, 350, 35_000, 3_500_000, 350_000_000])
+def test_only_words_or_form_make_a_filler(real):
+    for fillers in (0, 30, real // 1000, real // 10):
+        seen = {(1, 1, 1): real, (1, 1, 0): 1 + real // 500}
+        seen |= {v: fillers for v in [(-1, 1, -1), (1, -1, -1), (-1, -1, -1), (-1, 1, 1), (1, -1, 1), (-1, -1, 1)]}
+        m = truth.TwoSided(**truth.EVIDENCE).fit([(v, float(n)) for v, n in seen.items()])
+        assert {v for v in seen if m.truth(v) >= 0.5} == {(1, 1, 1), (1, 1, 0)}
+
+
+@pytest.mark.parametrize("n", [60, 600])
+def test_common_real_values_stay(spark, n):
+    t = D(2020, 1, 1)
+    data = [(2 * c + k, c + 1, 2 - k, "Jan Jansen" if c % 3 == 0 else f"Person {_letters(c)}", D(1950, 5, 5) if c % 3 == 1 else D(1901 + c % 99, 1 + c % 12, 1 + c % 28), "Home 1, Town" if c % 3 == 2 else f"Road {c}, Town", f"06{c:08d}", t) for c in range(n) for k in (0, 1)]
+    data = [(i, g, w, "onbekend" if g % 4 == 1 and w == 2 else name, *rest) for i, g, w, name, *rest in data]
+    out = truth.survivors(spark.createDataFrame(data, PERSON))
+    first = {g: i for i, g, w, *_ in data if w == 2}
+    assert rows(out) == sorted([(g, i, i + (g % 4 == 1), i, i, i) for g, i in first.items()], key=str)
+
+
 def test_fused_keeps_several_true_values(spark):
     t = D(2020, 1, 1)
     data = []

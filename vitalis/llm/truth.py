@@ -40,7 +40,8 @@ _WORDS = "|".join(sorted(NULL_WORDS, key=len, reverse=True))
 class TwoSided:
     """Sensitivity and specificity of k sources from patterns of votes and their weights."""
 
-    def __init__(self, sensitivity: list[float], specificity: list[float], strength: float = 50.0, prior: float = 0.5):
+    def __init__(self, sensitivity: list[float], specificity: list[float], strength: float = 50.0, prior: float = 0.5, share: float = 0.0):
+        self.share = share
         self.start = (sensitivity, specificity)
         self.sensitivity, self.specificity, self.strength, self.prior = list(sensitivity), list(specificity), strength, prior
 
@@ -54,12 +55,13 @@ class TwoSided:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
     def fit(self, patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> TwoSided:
-        """The prior quality counts as `strength` votes a source, so a source that hardly speaks keeps it."""
+        """The prior quality counts as `strength` votes a source, so a source that hardly speaks keeps it; or as `share`
+        times the facts, if that is more."""
+        s = max(self.strength, self.share * sum(n for _, n in patterns))
         for _ in range(rounds):
             judged = [(votes, n, self.truth(votes)) for votes, n in patterns]
             moved = 0.0
             for k, (sen0, spe0) in enumerate(zip(*self.start)):
-                s = self.strength
                 yes_true = s * sen0 + sum(n * p for v, n, p in judged if v[k] > 0)
                 all_true = s + sum(n * p for v, n, p in judged if v[k])
                 no_false = s * spe0 + sum(n * (1 - p) for v, n, p in judged if v[k] < 0)
@@ -72,14 +74,14 @@ class TwoSided:
         return self
 
 
-def judge(facts: DataFrame, votes: list[str], sensitivity: list[float], specificity: list[float], strength: float = 50.0) -> tuple[DataFrame, TwoSided]:
+def judge(facts: DataFrame, votes: list[str], sensitivity: list[float], specificity: list[float], strength: float = 50.0, share: float = 0.0) -> tuple[DataFrame, TwoSided]:
     """(facts with truth, the fitted model): votes are columns of -1, 0 and 1."""
     if len(votes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     counted = facts.groupBy(*votes).agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows = bounded_rows(counted, 3 ** len(votes), "vote patterns")
     patterns = [(tuple(int(r[v]) for v in votes), r["n"]) for r in rows]
-    model = TwoSided(sensitivity, specificity, strength).fit(patterns)
+    model = TwoSided(sensitivity, specificity, strength, share=share).fit(patterns)
     odds = F.lit(math.log(model.prior / (1 - model.prior)))
     for v, sen, spe in zip(votes, model.sensitivity, model.specificity):
         odds = odds + F.when(F.col(v) > 0, math.log(sen / (1 - spe))).when(F.col(v) < 0, math.log((1 - sen) / spe)).otherwise(0.0)
@@ -119,11 +121,17 @@ def long_fields(records: DataFrame, keys: list[Column]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "x"], "x.field", "x.value").where("value is not null")
 
 
+#: start values of the evidence of fillers (words, form, spread); they count as `strength` votes, or as `share` times the
+#: facts if that is more, so that what decides is the same for few and many facts
+EVIDENCE = {"sensitivity": [0.999, 0.999, 0.999], "specificity": [0.9, 0.7, 0.5], "strength": 200.0, "share": 5.0}
+
+
 def fillers(values: DataFrame, group: str) -> DataFrame:
     """(field, value, truth): values that say nothing about a person, judged from three kinds of evidence.
 
     The evidence: the words are words for nothing; the form is not the field's; the value is in many more groups than
-    values of that field are on average.
+    values of that field are on average. The last only supports the others: common names, dates, or the address of a
+    home are in more groups the more rows there are, so where nothing else is wrong with a value it is silent.
     """
     spread = values.groupBy("field", "value", group).agg(F.lit(1).alias("one")).groupBy("field", "value").agg(F.count(F.lit(1)).alias("groups"))
     mean = spread.groupBy("field").agg(F.avg("groups").alias("mean"))
@@ -134,9 +142,10 @@ def fillers(values: DataFrame, group: str) -> DataFrame:
         "value",
         vote(made_of_null_words(F.col("value"))).alias("words"),
         vote(badly_shaped(F.col("field"), F.col("value"))).alias("form"),
-        vote(F.col("groups") > 10 * F.col("mean") + 5).alias("spread"),
+        (F.col("groups") > 10 * F.col("mean") + 5).alias("wide"),
     )
-    judged, _ = judge(facts, ["words", "form", "spread"], [0.999, 0.999, 0.999], [0.9, 0.7, 0.5], strength=200.0)
+    spread = F.when(~F.col("wide"), 1).when((F.col("words") < 0) | (F.col("form") < 0), -1).otherwise(0)
+    judged, _ = judge(facts.withColumn("spread", spread), ["words", "form", "spread"], **EVIDENCE)
     return judged.where("truth < 0.5").select("field", "value", "truth")
 
 
