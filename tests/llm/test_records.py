@@ -244,3 +244,19 @@ def test_blocking_keys_miss_no_agreeing_details(spark):
     on = segments._same_string("a", "b", "other", "key")
     every = pairs(rows, rows, F.lit(True))
     assert pairs(segments._blocking(rows, probe=True), segments._blocking(rows, probe=False), on) == every and len(every) < 150 * 150
+
+
+def test_one_person_through_a_bridge(spark):
+    t, ident = D(2020, 1, 1), [("R", "424242")]
+    data = [
+        (10, None, ident, None, D(1950, 5, 5), None, None, None, t),
+        (11, None, ident, "Ann Lee", D(1950, 5, 5), None, None, None, t),
+        (12, None, ident, "Ann Lee", D(1972, 11, 30), None, None, None, t),
+        (13, None, ident, "Ann Lee", D(1972, 11, 30), None, None, None, t),
+        (20, None, [("R", "525252")], None, None, None, None, None, t),  # says nothing, so it doesn't make one person of the next two
+        (21, None, [("R", "525252")], "Ann Lee", D(1950, 5, 5), "F", None, None, t),
+        (22, None, [("R", "525252")], "Bob Jones", D(1980, 1, 1), "M", None, None, t),
+    ]
+    log = spark.createDataFrame([(k, 2 if k == 13 else 1) for k, *_ in data], "id long, batch_no long")
+    out = {r["id"]: r["id_cluster"] for r in segments.append_batches(spark.createDataFrame(data, RECORD), log).collect()}
+    assert out == {10: 10, 11: 10, 12: 10, 13: 10, 20: 20, 21: 20, 22: 22}
