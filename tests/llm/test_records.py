@@ -139,6 +139,12 @@ def test_common_real_values_stay(spark, n):
     assert rows(out) == sorted([(g, i, i + (g % 4 == 1), i, i, i) for g, i in first.items()], key=str)
 
 
+def test_only_placeholder_days_are_no_dates_of_birth(spark):
+    days = {D(1900, 1, 1): True, D(1900, 7, 14): False, D(1800, 1, 1): True, D(1800, 3, 2): False, D(1901, 1, 1): False, D(9999, 12, 31): True, D(1111, 11, 11): True, D(1, 1, 1): True}
+    df = spark.createDataFrame([(f"{d.year:04d}-{d.month:02d}-{d.day:02d}", bad) for d, bad in days.items()], "value string, bad boolean")
+    assert all(r["found"] == r["bad"] for r in df.select("bad", truth.badly_shaped(F.lit("birth"), F.col("value")).alias("found")).collect())
+
+
 def test_fused_keeps_several_true_values(spark):
     t = D(2020, 1, 1)
     data = []

@@ -108,7 +108,7 @@ def badly_shaped(field: Column, value: Column) -> Column:
         F.when(field == "name", one_sign | ~value.rlike(r"\p{L}{2}"))
         .when(field == "addr", one_sign | ~value.rlike(r"\p{L}{2}"))
         .when(field == "telecom", (F.length(digits) < 6) & ~value.contains("@") | digits.rlike(r"^(\d)\1*$"))
-        .when(field == "birth", value.rlike(r"^(?:1\d00|0\d{3}|9999)-|^1111-11-11"))
+        .when(field == "birth", value.rlike(r"^1[89]00-01-01|^(?:1[0-7]00|0\d{3}|9999)-|^1111-11-11"))
         .otherwise(F.lit(False))
     )
 
