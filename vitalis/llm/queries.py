@@ -57,11 +57,17 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_statistics(spark, d).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+    return _scored(spark, d, with_tails=False).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.kinds(quality.score(quality.describe(table(spark, d, "documents"), table(spark, d, "common_words"))))
+    """Statistics, tail probabilities, scores and kind of every document."""
+    return _scored(spark, d, with_tails=True)
+
+
+def _scored(spark: SparkSession, d: str, with_tails: bool) -> DataFrame:
+    described = quality.describe(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality.score(described, table(spark, d, "quality_labels"), with_tails=with_tails)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

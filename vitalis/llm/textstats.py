@@ -1,161 +1,100 @@
-"""Statistics of one text, from its lines: plain Python that the quality operator runs per Arrow batch."""
+"""Statistics of one text: plain Python that the quality operator runs per Arrow batch.
+
+They count words, signs, lines and repetitions only; nothing in them knows a kind of page, a language or a programming
+language. What a value means is left to its rank among the documents of the same language.
+"""
 
 from __future__ import annotations
 
 import re
-
-#: fixed values: frequent Spanish words, for the language that the table of common words lacks
-SPANISH = "el la los las de del un una unos y o pero a en para con por que como este esta estos estas es son era eran se no su sus ellos ellas nosotros cuando mientras antes después porque al algunos nuestros ustedes yo".split()
+import zlib
 
 NAMES = (
-    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "words_per_line",
-    "distinct_words", "distinct_sentences", "running_share", "list_share", "table_share", "junk_share",
+    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "words_per_line", "distinct_words",
+    "short_lines", "cell_lines", "capital_tokens", "bracket_ratio", "distinct_pairs", "short_words", "lower_tokens", "marked_lines",
+    "compressed", "line_spread", "mixed_tokens", "sentence_lines", "ideographs", "stops_per_line",
 )
 
 _word = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*").findall
 _cjk = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f]").findall
-_number = re.compile(r"[+-]?[\d.,:/-]*\d[\d.,:/-]*\s?%?$").match
 _digit = re.compile(r"\d").search
-_dump = re.compile(r"[0-9a-fA-F]{6,}:?\s+(?:[0-9a-fA-F]{2,4}\s){3}|\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d").match
-_solid = re.compile(r"(?<!\S)(?=\S*\d)(?=\S*[A-Z])(?=\S*[a-z])[A-Za-z0-9+/=_-]{40,}(?!\S)").search
-_code = re.compile(r"[{}()\[\];=<>\\#$@^~_*]").findall
-_call = re.compile(r"\w\(\w*\)|[{};]\s*$|^\s*(?:if|for|while|with|else|elif|try|def|class|return|import|from|select|insert|update|delete|function|var|let|const|public|private|static|void)\b.*(?:[:;{)=]$|\bis not\b|\bwhere\b)").search
-_statement = re.compile(r"(?:from \w+ import \w+|(?:while|if|elif) (?:not )?\w+.*:|for \w+ in .*:|with \w+ as .*:|select \w+ from \w+|def \w+\(|function \w+\()").match
-_odd = re.compile(r"[\ufffd\x00-\x08\x0b-\x1f\x7f-\x9f]").findall
-_mixed = re.compile(r"[A-Za-z\u00c0-\u024f][\u0370-\u05ff]|[\u0370-\u05ff][A-Za-z\u00c0-\u024f]|[\u00a1-\u00bf\u00d7\u00f7]").findall
-_run = re.compile(r"([^\w\s.\-=_·])\1{7,}").search
-_leader = re.compile(r"\.{4,}\s*\d+\s*$|(?:\. ){4,}\d+\s*$").search
-_bullet = re.compile(r"(?:[•·»›>*–—▪◦-]|\d{1,3}[.):]|\(?[a-z]\)|\d{1,2}[-./]\d{1,2}(?:[-./]\d{2,4})?:?)\s+\S").match
-_link = re.compile(r"\s[|·>›»/–-]\s")
-_cells = re.compile(r"\t|;|\s*\|\s*|\s{3,}")
-_sentence = re.compile(r"[^\s.!?。！？…][^.!?。！？…\n]{9,}").findall
-_stop = re.compile(r"(?<![.])[.!?](?:\s|$)").findall
+_letter = re.compile(r"[^\W\d_]").search
+_cell = re.compile(r"\t|;|\||\s{3,}").split
+_bracket = re.compile(r"[{}()\[\]<>=\\#$@^~_*;+/]").findall
+_stop = re.compile(r"[.!?。！？…](?=\s|$|[^\w])").findall
 _end = frozenset(".!?。！？…:;”\"»)]）」")
 
-
-def line_kind(s: str, words: list[str], common: frozenset[str] | set[str]) -> str:
-    """What a line without blanks around it is: running text, list, table or junk."""
-    n = len(s)
-    if not s.isascii():
-        odd, mixed = len(_odd(s)), len(_mixed(s))
-        if odd * 6 > n or (n > 8 and mixed and (odd + mixed) * 8 > n and odd + mixed > 2 * len(words)):
-            return "junk"
-    parts = s.split()
-    run = _run(s)
-    if _dump(s) or n >= 40 and max(map(len, parts)) >= 40 and _solid(s) or run and 2 * len(run.group()) > n:
-        return "junk"
-    if _statement(s) and (s[-1] in ":;{})" or "#" in s or "=" in s or "(" in s or s[-1] not in _end and " where " in s or " import " in s):
-        return "junk"
-    if len(_code(s)) * 14 > n and _call(s):
-        return "junk"
-    if "...." in s and _leader(s) or ". . . ." in s and _leader(s):
-        return "list"
-    cjk = 0 if s.isascii() else len(_cjk(s))
-    cells = [c for c in _cells.split(s)] if ("\t" in s or ";" in s or "|" in s or "   " in s) else ()
-    if len(cells) >= 3:
-        numbers = sum(1 for c in cells if _number(c))
-        if numbers * 5 >= len(cells) or (s[0] == "|" and s[-1] == "|"):
-            return "table"
-        if "\t" in s or (s.count(";") >= 2 and len(words) < 3 * len(cells)):
-            return "table"
-        if "   " in s and s[-1] not in _end and not any(x in common for x in words):
-            return "table"
-    numbers = sum(1 for p in parts if p == "%" or _number(p)) if _digit(s) else 0
-    capital = sum(1 for p in parts if p[0].isupper())
-    if numbers and not s.endswith((".", "!", "?", "。")) and capital * 2 < len(parts):
-        if parts[0][0].islower() and len(parts) <= 12 and (parts[-1] == "%" or _number(parts[-1])):
-            return "table"
-        if numbers >= 2 and numbers * 10 >= 3 * len(parts) and len(parts) >= 3:
-            return "table"
-        if numbers * 5 >= len(parts) >= 2 and (parts[0][0].islower() or numbers >= 2) and not _bullet(s):
-            return "table"
-    if cjk * 3 > n:
-        return "running" if "。" in s or "、" in s or (cjk >= 24 and not _link.search(s) and len(parts) < 4) else "list"
-    if s[-1] in ":;{})" and _call(s):
-        return "junk"
-    w = len(words)
-    if w == 0:
-        return "list"
-    known = sum(map(common.__contains__, words))
-    ends = s[-1] in _end
-    if len(_link.findall(s)) * 3 >= w and w >= 2 and known * 4 < w:
-        return "list"
-    if s.count(",") * 2 >= w and w >= 3 and known * 6 < w:
-        return "list"
-    if w >= 5 and known * 100 >= 72 * w:
-        return "junk"
-    if numbers:
-        capital += sum(1 for p in parts if p[0].isdigit())
-    if w >= 4 and not ends and capital * 4 >= 3 * len(parts):
-        return "list"
-    if w >= 5 and known * 12 < w:
-        return "list" if capital * 2 >= len(parts) else "junk"
-    if _bullet(s) and (w <= 9 and not ends or known * 8 < w):
-        return "list"
-    if w <= 7 and not ends:
-        return "list" if w <= 5 or capital <= 1 or capital * 2 >= len(parts) else "running"
-    if w <= 3 and not known:
-        return "list"
-    return "running"
-
-
-def _close(block: list[tuple[str, int, int, int]], chars: dict[str, int]) -> None:
-    """Adds a block's lines to their kinds; short lines among which sentences end are one wrapped text."""
-    if block:
-        words = sum(b[2] for b in block)
-        wrapped = len(block) >= 3 and sum(b[3] for b in block) * 30 >= words and words >= 4 * len(block)
-        for kind, n, _, _ in block:
-            chars["running" if wrapped and kind == "list" else kind] += n
-        block.clear()
+#: Words of a line from which it can hold a sentence; ideographs count for a third of a word.
+SENTENCE_WORDS = 5
+#: Words up to which a line is short, letters up to which a word is, and cells from which a line is one of cells.
+SHORT_LINE, SHORT_WORD, CELLS = 4, 3, 3
 
 
 def statistics(text: str, common: frozenset[str] | set[str]) -> list[float]:
     """The statistics in the order of NAMES; a blank text has none (all 0)."""
-    chars = {"running": 0, "list": 0, "table": 0, "junk": 0}
-    ends = lines = total = 0
-    words_of_all: list[str] = []
-    block: list[tuple[str, int, int, int]] = []  # neighbouring lines that may be one wrapped paragraph
-    for line in text.splitlines():
-        s = line.strip()
-        if not s:
-            continue
-        words = _word(s.lower())
-        n = len(s)
-        lines += 1
-        total += n
-        kind = line_kind(s, words, common)
-        if len(words) >= 3 and (kind == "running" or kind == "list" or kind == "junk") and not _bullet(s) and not _leader(s):
-            block.append((kind, n, len(words), len(_stop(s)) if n < 160 else 1))
-        else:
-            if block:
-                _close(block, chars)
-            chars[kind] += n
-        words_of_all += words
-        if s[-1] in _end:
-            ends += 1
-    if block:
-        _close(block, chars)
+    lines = [s for s in map(str.strip, text.splitlines()) if s]
     if not lines:
         return [0.0] * len(NAMES)
-    n_words = len(words_of_all)
-    letters = sum(map(len, words_of_all))
-    distinct = len(set(words_of_all))
-    known = sum(map(common.__contains__, words_of_all))
+    words: list[str] = []
+    lengths: list[int] = []
+    ended = stops = tokens = capital = lower = mixed = marked = short = cells = sentences = ideographs = 0
+    for s in lines:
+        n = len(s)
+        lengths.append(n)
+        here = _word(s.lower())
+        words += here
+        cjk = 0 if s.isascii() else len(_cjk(s))
+        ideographs += cjk
+        weight = len(here) + cjk // 3
+        parts = s.split()
+        tokens += len(parts)
+        for p in parts:
+            if p[0].isupper():
+                capital += 1
+            elif p[0].islower():
+                lower += 1
+        if _digit(s):
+            mixed += sum(1 for p in parts if _digit(p) and _letter(p))
+        end = s[-1] in _end
+        ended += end
+        if weight <= SHORT_LINE:
+            short += n
+        if ("\t" in s or ";" in s or "|" in s or "   " in s) and len(_cell(s)) >= CELLS:
+            cells += n
+        if not s[0].isalpha():
+            marked += 1
+        stop = len(_stop(s))
+        stops += stop
+        if weight >= SENTENCE_WORDS and (end or stop):
+            sentences += n
+    total, count, w = sum(lengths), len(lines), len(words)
+    letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
-    sentences = _sentence(text)
-    held = sum(map(len, sentences))
-    new = sum(map(len, set(sentences))) / held if held else 1.0
     spaces = sum(map(text.count, (" ", "\n", "\r", "\t")))
-    symbols = max(0, len(text) - spaces - letters - digits)
+    raw = text.encode("utf-8", "surrogatepass")
+    mean = total / count
+    spread = (sum((x - mean) ** 2 for x in lengths) / count) ** 0.5
     return [
-        float(n_words),
-        letters / n_words if n_words else 0.0,
-        symbols / total,
+        float(w),
+        letters / w if w else 0.0,
+        max(0, len(text) - spaces - letters - digits) / total,
         digits / total,
-        ends / lines,
-        known / n_words if n_words else 0.0,
-        n_words / lines,
-        distinct / n_words if n_words else 0.0,
-        new,
-        *(chars[k] / total for k in ("running", "list", "table", "junk")),
+        ended / count,
+        sum(map(common.__contains__, words)) / w if w else 0.0,
+        w / count,
+        len(set(words)) / w if w else 0.0,
+        short / total,
+        cells / total,
+        capital / tokens,
+        len(_bracket(text)) / total,
+        len(set(zip(words, words[1:]))) / (w - 1) if w > 1 else 1.0,
+        sum(1 for x in words if len(x) <= SHORT_WORD) / w if w else 0.0,
+        lower / tokens,
+        marked / count,
+        len(zlib.compress(raw, 1)) / len(raw),
+        spread / mean,
+        mixed / tokens,
+        sentences / total,
+        ideographs / total,
+        stops / count,
     ]
