@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ def build_session(app: str = "vitalis", master: str | None = None, cpus: int | N
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in conf.items():
         b = b.config(k, v)
@@ -51,22 +55,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir.
+
+    Where none is set, a local session (tests) gets one of its own; on a cluster that is an error, as each node has another disk.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitalis-checkpoint-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="vitalis-checkpoint-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate data, wherever it lies."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # the session has ended
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A new folder in the shared one; it is removed when the application ends, unless remove() did so before."""
+    path = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    atexit.register(_remove_late, spark, path)
+    return path
+
+
+def _remove_late(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001 - nothing can be done about it any more
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage through a reliable checkpoint in the shared folder; it survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the checkpoint of a cut() result that nothing will read again."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        path = plan.rdd().getCheckpointFile()
+        if path.isDefined():
+            remove(df.sparkSession, path.get())
+
+
 def bounded_file(path: str, most: int) -> bytes:
     """Content of a file whose size is checked before it is sent to the executors."""
     size = os.path.getsize(path)
