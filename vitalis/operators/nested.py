@@ -27,7 +27,8 @@ def _not_standard(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
-_decode = json.JSONDecoder(parse_constant=_not_standard).decode
+#: No number's value is asked for; a float takes integers of any length, which int() refuses to read.
+_decode = json.JSONDecoder(parse_constant=_not_standard, parse_int=float).decode
 _space = re.compile(r"[ \t\n\r]*").match
 _number = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?").match
 _words = {"true": True, "false": False, "null": None}
@@ -93,7 +94,7 @@ def parse_deep(text: str):
             value, i = json.decoder.scanstring(text, i + 1, True)
             put(value)
         elif m := _number(text, i):
-            put(float(m.group()) if m.group(1) or m.group(2) else m.group())
+            put(float(m.group()))
             i = m.end()
         else:
             for word, value in _words.items():
