@@ -1,8 +1,11 @@
 """One group id for all records linked directly or indirectly: alternating large-star and small-star edge rewrites.
 
 Each rewrite is a partial aggregation (the smallest neighbour of a vertex) and a join of the edges with it; no vertex's
-neighbours are ever gathered in one place, and hot vertices are split by the skew handling of the join. Rounds are cut
-by reliable checkpoints, and end when the edges stay the same. Every record then points to its component's minimum.
+neighbours are ever gathered in one place, and hot vertices are split by the skew handling of the join. After each pair
+of rewrites, vertices that have a single edge left, to a smaller vertex, are set aside with it: no path leads through
+them, so the rest stays linked as it was and keeps its minimum. A finished star thus leaves the edges at once, and later
+rounds only see what isn't finished; they end when no edge is left. A vertex set aside has the group of the vertex its
+edge led to. Rounds are cut by reliable checkpoints.
 
 Defined results: a link with a null end, or of a record to itself, links nothing; records without links are groups of
 their own; repeated links count once; no links give each record its own id.
@@ -13,29 +16,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalis.session import cut
+from vitalis.session import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each vertex sends its larger neighbours to the smallest vertex around it."""
+    """Each vertex sends its larger neighbours to the smallest vertex around it; edges may repeat."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each vertex sends its smaller neighbours, and itself, to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Each vertex sends its smaller neighbours, and itself, to the smallest of them; a is the larger end."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    """Number and two order-free sums over the edges: alike for equal edges, and all but never for others."""
-    h = F.xxhash64("a", "b")
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 40)))).head()
-    return tuple(r)
+def _settled(edges: DataFrame) -> DataFrame:
+    """(a, b, settled): whether the edge is the only one of its larger end."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("n")).unionByName(edges.select(F.col("b").alias("v"), F.lit(2).alias("n")))
+    inner = ends.groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("v").alias("a"), F.lit(False).alias("settled"))
+    return edges.join(inner, "a", "left").select("a", "b", F.coalesce("settled", F.lit(True)).alias("settled"))
 
 
 def components(links: DataFrame, records: DataFrame | None = None, most_rounds: int = 200) -> DataFrame:
@@ -44,20 +46,22 @@ def components(links: DataFrame, records: DataFrame | None = None, most_rounds:
     named = ends.select(F.col("a").alias("record_id")).unionByName(ends.select(F.col("b").alias("record_id")))
     if records is not None:
         named = named.unionByName(records.select("record_id").where("record_id is not null"))
-    edges = cut(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _print_of(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
-        edges = cut(_small_star(_large_star(edges)))
-        after = _print_of(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-    stars = edges.select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
-    return named.distinct().join(stars, "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
+    left = ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rounds: list[DataFrame] = []
+    while not rounds or not left.isEmpty():
+        if len(rounds) == most_rounds:
+            raise RuntimeError(f"edges are left after {most_rounds} rounds")
+        rounds.append(cut(_settled(_small_star(_large_star(left)))))
+        left = rounds[-1].where("not settled").select("a", "b")
+    # from the last round to the first: what a vertex was tied to may itself have been set aside in a later round
+    groups = rounds[-1].where("settled").select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
+    for k in range(len(rounds) - 2, -1, -1):
+        later = cut(groups) if k < len(rounds) - 2 else groups
+        tied = rounds[k].where("settled").select("a", "b").join(later, F.col("b") == F.col("record_id"), "left")
+        groups = later.unionByName(tied.select(F.col("a").alias("record_id"), F.coalesce("group_id", "b").alias("group_id")))
+        if k + 2 < len(rounds):  # read by what later holds now
+            discard(rounds[k + 2])
+    return named.distinct().join(groups, "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
 
 
 def instruction_groups(instructions: DataFrame) -> DataFrame:
