@@ -5,8 +5,10 @@ smallest. That keeps the gaps varied, so a fitting one is at hand for whatever c
 grows more slowly than the number of items.
 
 Items are packed in groups of a bounded number of items (by a hash of their id, so that a lost task gives the same
-result again); the containers a group leaves partly open are then packed again among each other, whole, so that the
-number of groups costs next to nothing. No group and no collected result grows with the data.
+result again). The rule takes items one after the other; a group is packed in two orders, all items in decreasing size,
+and the large ones so and the others as they come, and the order that needs fewer containers counts. The containers a
+group leaves partly open are then packed again among each other, whole, so that the number of groups costs next to
+nothing. No group and no collected result grows with the data.
 
 Items longer than the capacity are split: full containers first, the rest is an item. Items of size 0 or null take no
 space: they come out once, with a null container. An item of negative size is an error. Repeated ids are several items.
@@ -19,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalis.session import ship
+from vitalis.session import cut, ship
 
 #: Items of a group on average; a group is packed by one task, and needs a few dozen bytes an item.
 GROUP_ITEMS = 1 << 16
 #: Groups whose open containers are packed together in the second step.
 GROUPS_TOGETHER = 32
+#: Items above this share of the capacity are large.
+LARGE = 0.15
 
 
 class SumOfSquares:
@@ -57,10 +61,24 @@ class SumOfSquares:
 
 
 def pack_sizes(sizes, capacity: int) -> np.ndarray:
+    """The container of each item, in the given order."""
     packer = SumOfSquares(capacity)
     return np.fromiter((packer.put(int(s)) for s in sizes), np.int64, len(sizes))
 
 
+def pack_best(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each item, in the order that needs fewer containers."""
+    falling = np.argsort(-sizes, kind="stable")
+    large = sizes[falling] > LARGE * capacity
+    best = None
+    for order in (falling, np.r_[falling[large], np.sort(falling[~large])]):
+        where = np.empty(len(sizes), np.int64)
+        where[order] = pack_sizes(sizes[order], capacity)
+        if best is None or where.max(initial=-1) < best.max(initial=-1):
+            best = where
+    return best
+
+
 def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, rows: int | None = None) -> DataFrame:
     """(id, piece, size, container_id): container_id is a long, unique over all groups; rows, if known, saves a count."""
     if capacity < 1:
@@ -75,26 +93,26 @@ def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, rows: int | N
     )
     kind = items.schema["__id"].dataType.simpleString()
 
-    def pack_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__id", "__size"], kind="stable", na_position="last")
-        ids, sizes = pdf["__id"].to_numpy(), pdf["__size"].to_numpy()
+        sizes = pdf["__size"].to_numpy()
         if (sizes < 0).any():
             raise ValueError("an item has a negative size")
-        packer, base = SumOfSquares(capacity), int(key[0]) << 32
         full, rest = np.divmod(sizes, capacity)
-        out_row, out_piece, out_size, out_container = [], [], [], []
-        for i in range(len(ids)):
-            for p in range(int(full[i])):
-                out_row.append(i), out_piece.append(p), out_size.append(capacity), out_container.append(base + packer.put(capacity))
-            if rest[i]:
-                out_row.append(i), out_piece.append(int(full[i])), out_size.append(int(rest[i])), out_container.append(base + packer.put(int(rest[i])))
-            elif not full[i]:
-                out_row.append(i), out_piece.append(0), out_size.append(0), out_container.append(None)
-        return pd.DataFrame({"id": ids[out_row], "piece": out_piece, "size": out_size, "container_id": pd.array(out_container, "Int64")})
+        pieces = np.maximum(full + (rest > 0), 1)
+        row = np.repeat(np.arange(len(sizes)), pieces)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.where(piece < full[row], capacity, rest[row])
+        whole = size == capacity
+        container = np.empty(len(row), np.int64)
+        container[whole] = np.arange(whole.sum())
+        some = ~whole & (size > 0)
+        container[some] = pack_best(size[some], capacity) + whole.sum()
+        numbered = pd.arrays.IntegerArray(container + (int(key[0]) << 32), size == 0)
+        return pd.DataFrame({"id": pdf["__id"].to_numpy()[row], "piece": piece, "size": size, "container_id": numbered})
 
     packed = items.groupBy("__group").applyInPandas(pack_group, f"id {kind}, piece long, size long, container_id long")
-    if groups > 1:
-        packed = _pack_open(packed, capacity)
+    packed = _pack_open(cut(packed), capacity)  # read twice there; a group is packed once
     return packed.withColumnRenamed("id", id_col)
 
 
@@ -103,13 +121,14 @@ def _pack_open(packed: DataFrame, capacity: int) -> DataFrame:
     held = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("size").alias("held")).where(F.col("held") < capacity)
     held = held.withColumn("__group", F.shiftright("container_id", 32) / F.lit(GROUPS_TOGETHER)).withColumn("__group", F.floor("__group"))
 
-    def again(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["held", "container_id"], ascending=[False, True])
         old = pdf["container_id"].to_numpy()
-        where = pack_sizes(pdf["held"], capacity)
+        where = pack_best(pdf["held"].to_numpy(), capacity)
         first = pd.Series(old).groupby(where).transform("min").to_numpy()  # a merged container keeps its smallest id
         return pd.DataFrame({"old": old, "new": first})
 
     moved = held.groupBy("__group").applyInPandas(again, "old long, new long").where("old <> new")
-    joined = packed.join(moved, packed.container_id == moved.old, "left")
-    return joined.select("id", "piece", "size", F.coalesce("new", "container_id").alias("container_id"))
+    joined = packed.where("container_id is not null").join(moved, packed.container_id == moved.old, "left")
+    placed = joined.select("id", "piece", "size", F.coalesce("new", "container_id").alias("container_id"))
+    return placed.unionByName(packed.where("container_id is null"))
