@@ -1,7 +1,10 @@
+import itertools
+import os
 import random
 from datetime import datetime
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,12 +169,68 @@ def test_units_decoded_from_the_series(spark):
     assert sorted(r["id"] for r in out) == [*range(400), 1001]
     by = {r["id"]: r for r in out}
     assert by[1001]["decoded_unit"] is None and by[1001]["value_scaled"] is None
+    silent = units.common_units(units.read_quantities(df.where("i < 9").withColumn("u", F.lit(None).cast("string")), ref, "i", "code", "v", "u", "t", "at"), ref).collect()
+    assert len(silent) == 9 and all(r["decoded_unit"] is None and not r["stated"] for r in silent)  # nothing is stated for the code
     assert all(by[k]["decoded_unit"] == u for k, u in truth.items() if by[k]["stated"])
     assert sum(by[k]["decoded_unit"] == u for k, u in truth.items()) >= 390
     empty = units.common_units(units.read_quantities(df.limit(0), ref, "i", "code", "v", "u", "t", "at"), ref)
     assert empty.count() == 0
 
 
+def _masked(spark):
+    """Acts of the test tables with 3 of 10 stated units hidden, and what was hidden."""
+    from vitalis.operators.latest import latest_version
+    from vitalis.session import table
+
+    d = "/root/testdata/sf0.01"
+    ref = table(spark, d, "unit_reference")
+    newest = latest_version(table(spark, d, "act").where("_id is not null"), ["_id"], columns=["rim_class", "code", "effective_low", "_value_pq_value", "_value_pq_unit", "value_text"])
+    read = units.read_quantities(newest.where("rim_class = 'Observation'"), ref, "_id", "code", "_value_pq_value", "_value_pq_unit", "value_text", "effective_low")
+    hidden = (F.pmod(F.xxhash64("id"), F.lit(10)) < 3) & (F.size("numbers") == 1)
+    truth = {r["id"]: r["u"] for r in read.where(F.col("stated") & hidden).select("id", F.col("units")[0].alias("u")).collect()}
+    masked = read.withColumn("stated", F.col("stated") & ~hidden)
+    return masked.withColumn("units", F.when(F.col("stated"), F.col("units")).otherwise(F.transform("units", lambda x: F.lit(None).cast("string")))), ref, truth
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_hidden_units_are_decoded_alike_for_any_partitioning(spark):
+    masked, ref, truth = _masked(spark)
+    found = []
+    for n in (1, 24):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            found.append({r["id"]: r["decoded_unit"] for r in units.common_units(masked, ref).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0] == found[1] and len(truth) > 500
+    assert sum(found[0][k] == u for k, u in truth.items()) >= 0.95 * len(truth)
+
+
+def test_path_of_units_against_all_paths():
+    rng = np.random.default_rng(3)
+    model = units.Model(HEIGHT, 5.1, 0.1, np.array([[9, 1, 1], [1, 5, 1], [2, 1, 4], [11, 7, 6]]))
+    n = 5
+    emitted = rng.integers(-9_000_000, 0, (n, 3))
+    first, last = model.moves[3], np.array([0, units.NEVER, units.NEVER])
+    score = lambda p: first[p[0]] + sum(emitted[i, k] for i, k in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:])) + last[p[-1]]
+    best = max(itertools.product(range(3), repeat=n), key=score)
+    assert tuple(model.path(first, emitted, last)) == best
+    # the same in two parts, chained over their border
+    squares = [(0, model.begin(emitted[:2]).ravel().tolist()), (1, model.begin(emitted[2:]).ravel().tolist())]
+    free = max(itertools.product(range(3), repeat=n), key=lambda p: score(p) - last[p[-1]])
+    assert units._chained(squares, 3) == {0: (3, free[1]), 1: (free[1], free[-1])}
+
+
+def test_numbers_in_documents_of_any_depth_and_length(spark):
+    deep = lambda n, inner: '{"a":' * n + inner + "}" * n
+    inner = '{"_rimname": 5, "b": {"_rimname": "Act"}}'
+    docs = [(1, deep(3000, inner)), (2, deep(20_000, inner)), (3, '{"_rimname": "Act", "n": ' + "9" * 5000 + "}"), (4, deep(20_000, '{"_rimname": "Act", "n": ' + "9" * 5000 + "}"))]
+    out = nested.node_table(spark.createDataFrame(docs, "id long, d string"), "id", "d", "_rimname").collect()
+    assert sorted((r["id"], r["type"], r["path"][-2:]) for r in out) == [(1, "Act", ".b"), (2, "Act", ".b"), (3, "Act", "$"), (4, "Act", ".a")]
+
+
 # --- semantics -----------------------------------------------------------------------------------------------------
 
 
