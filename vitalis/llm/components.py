@@ -13,11 +13,18 @@ their own; repeated links count once; no links give each record its own id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.session import cut, discard
 
+#: Rounds whose large star is stored before it is read several times.
+ROUNDS_STORED = 2
+#: Vertices set aside in a round, up to which they are broadcast (16 bytes each); more are joined by a shuffle.
+FEW = 100_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex sends its larger neighbours to the smallest vertex around it; edges may repeat."""
@@ -47,20 +54,26 @@ def components(links: DataFrame, records: DataFrame | None = None, most_rounds:
     if records is not None:
         named = named.unionByName(records.select("record_id").where("record_id is not null"))
     left = ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rounds: list[DataFrame] = []
-    while not rounds or not left.isEmpty():
-        if len(rounds) == most_rounds:
+    tied: list[DataFrame] = []  # (v, w) of each round: vertices set aside, and what they were tied to
+    again = True
+    while again:
+        if len(tied) == most_rounds:
             raise RuntimeError(f"edges are left after {most_rounds} rounds")
-        rounds.append(cut(_settled(_small_star(_large_star(left)))))
-        left = rounds[-1].where("not settled").select("a", "b")
-    # from the last round to the first: what a vertex was tied to may itself have been set aside in a later round
-    groups = rounds[-1].where("settled").select(F.col("a").alias("record_id"), F.col("b").alias("group_id"))
-    for k in range(len(rounds) - 2, -1, -1):
-        later = cut(groups) if k < len(rounds) - 2 else groups
-        tied = rounds[k].where("settled").select("a", "b").join(later, F.col("b") == F.col("record_id"), "left")
-        groups = later.unionByName(tied.select(F.col("a").alias("record_id"), F.coalesce("group_id", "b").alias("group_id")))
-        if k + 2 < len(rounds):  # read by what later holds now
-            discard(rounds[k + 2])
+        large = _large_star(left)
+        # what the first rounds move is much; in the later ones a job costs more than moving the little that is left again
+        large = cut(large) if len(tied) < ROUNDS_STORED else large
+        edges = cut(_settled(_small_star(large)))
+        if len(tied) < ROUNDS_STORED:
+            discard(large)
+        left = edges.where("not settled").select("a", "b")
+        aside = edges.where("settled").select(F.col("a").alias("v"), F.col("b").alias("w"))
+        n = edges.agg(F.count_if(~F.col("settled")), F.count_if("settled")).head()
+        tied.append(F.broadcast(aside) if n[1] <= FEW else aside)
+        again = n[0] > 0
+    # what a vertex was tied to may itself have been set aside, in a later round
+    groups = reduce(DataFrame.unionByName, tied).withColumnsRenamed({"v": "record_id", "w": "group_id"})
+    for aside in tied[1:]:
+        groups = groups.join(aside, F.col("group_id") == F.col("v"), "left").select("record_id", F.coalesce("w", "group_id").alias("group_id"))
     return named.distinct().join(groups, "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
 
 
