@@ -8,9 +8,9 @@ import duckdb
 DATA = Path("/root/testdata/sf0.001")
 
 
-def connect():
+def connect(data=None):
     con = duckdb.connect()
-    for f in DATA.glob("*.parquet"):
+    for f in (data or DATA).glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
     return con
 
@@ -25,11 +25,11 @@ def plain(v):
     return str(v)
 
 
-def compare(spark, query, sql):
-    df = query(spark, str(DATA))
+def compare(spark, query, sql, data=None):
+    df = query(spark, str(data or DATA))
     names = sorted(df.columns)
     mine = sorted(tuple(plain(r[c]) for c in names) for r in df.collect())
-    rel = connect().execute(sql)
+    rel = connect(data).execute(sql)
     theirs_names = [d[0] for d in rel.description]
     theirs = sorted(tuple(plain(r[theirs_names.index(c)]) for c in names) for r in rel.fetchall())
     assert sorted(theirs_names) == names
