@@ -15,7 +15,8 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     if name in queries.SQL:
-        compare(spark, queries.QUERIES[name], queries.SQL[name])
+        # what several groups have in common shows only in more than the smallest tables
+        compare(spark, queries.QUERIES[name], queries.SQL[name], DATA.parent / "sf0.01" if name == "p3_found" else None)
     else:
         df = queries.QUERIES[name](spark, str(DATA))
         assert df.columns and df.count() >= 0

@@ -81,16 +81,20 @@ SQL: dict[str, str] = {
         SELECT peso_id, code, act_id, rocky FROM (
             SELECT peso_id, code, act_id, row_number() OVER (PARTITION BY peso_id, code ORDER BY effective_time_low DESC NULLS LAST, act_id DESC) AS rocky
             FROM named WHERE peso_id IS NOT NULL AND code IS NOT NULL) WHERE rocky <= 3""",
+    # what the fitted model comes to on these tables: a value of three groups or more is a filler if others there contradict it far more often than they confirm it
     "p3_found": r"""
-        WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY _lake_timestamp DESC NULLS LAST, _id_cluster DESC NULLS LAST, _record_weight DESC NULLS LAST, name DESC NULLS LAST, birth_time DESC NULLS LAST, addr DESC NULLS LAST, telecom DESC NULLS LAST) AS k FROM resolution_a WHERE _id IS NOT NULL) WHERE k = 1 AND _id_cluster IS NOT NULL),
+        WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY _lake_timestamp DESC NULLS LAST, _id_cluster DESC NULLS LAST, _record_weight DESC NULLS LAST, _mif DESC NULLS LAST, name DESC NULLS LAST, birth_time DESC NULLS LAST, addr DESC NULLS LAST, telecom DESC NULLS LAST) AS k FROM resolution_a WHERE _id IS NOT NULL) WHERE k = 1 AND _id_cluster IS NOT NULL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY _id_cluster ORDER BY coalesce(_record_weight, 0) DESC, _lake_timestamp DESC NULLS LAST, _id) AS r FROM one),
-        nothing(v) AS (VALUES (''), ('-'), ('.'), ('?'), ('??'), ('xxx'), ('n/a'), ('nvt'), ('n.n.'), ('unknown'), ('onbekend'), ('onbekend, onbekend'), ('naam volgt'), ('adres onbekend'), ('geen'), ('tel:'), ('0000000000'), ('9999999999'))
-        SELECT _id_cluster AS id_cluster, arg_min(_id, r) AS survivor_id,
-            coalesce(arg_min(_id, r) FILTER (lower(trim(name)) NOT IN (SELECT v FROM nothing)), 0) AS name_id,
-            coalesce(arg_min(_id, r) FILTER (birth_time <> TIMESTAMP '1900-01-01'), 0) AS birth_id,
-            coalesce(arg_min(_id, r) FILTER (lower(trim(addr)) NOT IN (SELECT v FROM nothing)), 0) AS addr_id,
-            coalesce(arg_min(_id, r) FILTER (lower(trim(telecom)) NOT IN (SELECT v FROM nothing)), 0) AS telecom_id
-        FROM ranked GROUP BY _id_cluster HAVING count(*) > 1""",
+        long AS (SELECT _id, _id_cluster AS g, r, 'name' AS f, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS v FROM ranked UNION ALL SELECT _id, _id_cluster, r, 'birth', strftime(birth_time, '%Y-%m-%d') FROM ranked
+            UNION ALL SELECT _id, _id_cluster, r, 'addr', lower(trim(regexp_replace(addr, '\s+', ' ', 'g'))) FROM ranked UNION ALL SELECT _id, _id_cluster, r, 'telecom', lower(trim(regexp_replace(telecom, '\s+', ' ', 'g'))) FROM ranked),
+        said AS (SELECT *, coalesce(CASE WHEN f IN ('name', 'addr') THEN list_max(list_transform(list_filter(regexp_split_to_array(v, '[^\p{L}\p{N}]+'), lambda x: x <> ''), lambda x: {'n': length(x), 'w': x})).w
+            WHEN f = 'telecom' THEN nullif(right(regexp_replace(v, '\D', '', 'g'), 8), '') END, v) AS gist FROM long WHERE v <> ''),
+        here AS (SELECT g, f, gist, count(*) AS same FROM said GROUP BY ALL), field AS (SELECT g, f, sum(same) AS every FROM here GROUP BY ALL),
+        votes AS (SELECT f, v, count(*) AS groups, count(*) FILTER (same > 1) AS pro, count(*) FILTER (same = 1 AND every > 1) AS con FROM (SELECT DISTINCT g, f, v, gist FROM said) JOIN here USING (g, f, gist) JOIN field USING (g, f) GROUP BY f, v),
+        nothing AS (SELECT f, v FROM votes WHERE groups >= 3 AND con >= 3 AND 2 * pro < con),
+        found AS (SELECT g, f, arg_min(_id, r) AS winner FROM said s WHERE NOT EXISTS (FROM nothing n WHERE n.f = s.f AND n.v = s.v) GROUP BY g, f)
+        SELECT _id_cluster AS id_cluster, arg_min(_id, r) AS survivor_id, coalesce(max(winner) FILTER (f = 'name'), 0) AS name_id, coalesce(max(winner) FILTER (f = 'birth'), 0) AS birth_id, coalesce(max(winner) FILTER (f = 'addr'), 0) AS addr_id, coalesce(max(winner) FILTER (f = 'telecom'), 0) AS telecom_id
+        FROM ranked LEFT JOIN found ON found.g = _id_cluster GROUP BY _id_cluster HAVING count(DISTINCT _id) > 1""",
     "p6_found": r"""
         WITH RECURSIVE named AS (SELECT DISTINCT list_distinct(list_filter([_id, _id_cluster, dedup_new_id], lambda x: x > 0)) AS r FROM resolution_i),
         pairs AS (SELECT DISTINCT a, b FROM (SELECT r[1] AS a, unnest(r) AS b FROM named)),

@@ -1,91 +1,126 @@
-"""Which values are true: a latent two-sided quality model, fitted by expectation-maximisation.
-
-A fact is a value of a field (of a record, of a group, or anywhere); sources vote for it (1), against it (-1), or are
-silent (0). Each source has a sensitivity (how often it votes for true facts) and a specificity (how often against false
-ones); both are unknown and inferred together with the facts' truth. Facts are judged one by one, so a field may keep
-several true values. Facts with equal votes are alike, so the model is fitted on vote patterns with their numbers: with k
-sources at most 3^k rows, which is what makes it independent of the number of facts.
-
-p3 uses it twice: for values (does this text say anything about a person?), where the sources are kinds of evidence, and
-for the values of each duplicate group, where the sources are feeds.
-
-Defined results: null and blank values are no facts; a group of records without any real value has 0 as source of that
-field; repeated rows of a record are its versions; equal ranks are decided by the smaller id.
+"""Which values are true: a latent two-sided quality model of feeds, fitted by expectation-maximisation.
+
+A fact is a value of a field, of one group of duplicates or of persons in general; feeds vote for it (they state it too)
+or against it (they state only other things). Each feed has a sensitivity (how often it votes for true facts) and a
+specificity (how often against false ones); both are inferred together with the facts' truth and with the share of true
+facts in each class of them. Facts are judged one by one, so a field may keep several true values. Facts with equal votes
+are alike: the model is fitted on vote patterns with their numbers, in Spark, and the driver sees one row per feed and
+class in each round. So there is no limit on facts or patterns, and feeds are never merged.
+
+It is used twice. fillers() asks of each value that several groups have in common whether it says anything about a
+person: in each such group one of the other records votes. A filler is contradicted nearly everywhere; a name, a date or
+an address that many persons share is confirmed by the other records of many of them, however many groups it is in. What
+a value looks like doesn't count. fused() asks which values of each group are true, with all feeds that speak there.
+
+Defined results: null and blank values are no facts; a value of one group only is kept, as nothing tells it from another
+value of that person; a group of records without any real value has 0 as source of that field; repeated rows of a record
+are its versions; equal ranks are decided by the smaller id; records without a feed are one feed.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.llm.topn import latest
-from vitalis.session import bounded_rows
-
-#: More sources than this would make too many vote patterns; feeds beyond it are one source.
-MOST_SOURCES = 9
+from vitalis.session import bounded_rows, cut
+
+#: Different feeds, and classes of facts, at most.
+MOST_FEEDS, MOST_CLASSES = 10_000, 10_000
+#: Patterns up to which the driver works on them itself, in place of a job a round; the result is the same.
+FEW_PATTERNS = 20_000
+#: Rounds of fitting at most, and the change of any quality under which it ends.
+ROUNDS, STILL = 15, 1e-3
 FIELDS = {"name": "name", "birth": "birth_time", "addr": "addr", "telecom": "telecom"}
-
-#: fixed values: words that stand for a missing value
-NULL_WORDS = (
-    "unknown unk onbekend unbekannt inconnu inconnue desconocido desconocida none null nil nvt na nb nn nnb tba tbd test xxx xx "
-    "geen keine aucun ninguno naam name adres adresse address volgt follows vermeld niet not ingevuld gegeven available bekend "
-    "leeg empty missing vacant dummy tel telefoon phone no nummer zonder ohne sans sin anoniem anonymous nomen nescio"
-).split()
-#: those that only qualify other words and alone say nothing either
-_WORDS = "|".join(sorted(NULL_WORDS, key=len, reverse=True))
+#: Odds against a value from which it is a filler: dropping a real value is worse than keeping a filler.
+CERTAIN = 50.0
 
 
 class TwoSided:
-    """Sensitivity and specificity of k sources from patterns of votes and their weights."""
-
-    def __init__(self, sensitivity: list[float], specificity: list[float], strength: float = 50.0, prior: float = 0.5, share: float = 0.0):
-        self.share = share
-        self.start = (sensitivity, specificity)
-        self.sensitivity, self.specificity, self.strength, self.prior = list(sensitivity), list(specificity), strength, prior
-
-    def truth(self, votes) -> float:
-        odds = math.log(self.prior / (1 - self.prior))
-        for v, sen, spe in zip(votes, self.sensitivity, self.specificity):
-            if v > 0:
-                odds += math.log(sen / (1 - spe))
-            elif v < 0:
-                odds += math.log((1 - sen) / spe)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-
-    def fit(self, patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> TwoSided:
-        """The prior quality counts as `strength` votes a source, so a source that hardly speaks keeps it; or as `share`
-        times the facts, if that is more."""
-        s = max(self.strength, self.share * sum(n for _, n in patterns))
-        for _ in range(rounds):
-            judged = [(votes, n, self.truth(votes)) for votes, n in patterns]
+    """Sensitivity and specificity of each feed, and the share of true facts of each class; fit() infers them from votes."""
+
+    def __init__(self, sensitivity: float = 0.7, specificity: float = 0.95, share: float = 0.9, weight: float = 5.0, weight_of_class: float = 2.0):
+        """The start values; they go on to count as so many votes of a feed, and facts of a class."""
+        self.start = (sensitivity, specificity, share)
+        self.weight, self.weight_of_class = weight, weight_of_class
+        self.feeds: dict[str, tuple[float, float]] = {}
+        self.classes: dict[str, float] = {}
+
+    def odds(self, kind: Column, votes: Column) -> Column:
+        """The logarithm of the odds for facts of a class, from votes array<struct<feed, pro, con>>."""
+        pro = {f: math.log(sen / (1 - spe)) for f, (sen, spe) in self.feeds.items()}
+        con = {f: math.log((1 - sen) / spe) for f, (sen, spe) in self.feeds.items()}
+        of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,double>")
+        pros, cons = of(pro), of(con)
+        spoken = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v["pro"] * pros[v["feed"]] + v["con"] * cons[v["feed"]])
+        return of({c: math.log(p / (1 - p)) for c, p in self.classes.items()})[kind] + spoken
+
+    def _sums_here(self, patterns: list) -> dict[tuple[str, str], tuple]:
+        """By class and feed the expected votes: for true facts, against them, for false ones, against those."""
+        sums: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0] * 4)
+        for kind, votes, n in patterns:
+            p = self.classes[kind]
+            odds = math.log(p / (1 - p))
+            for feed, pro, con in votes:
+                sen, spe = self.feeds[feed]
+                odds += pro * math.log(sen / (1 - spe)) + con * math.log((1 - sen) / spe)
+            t = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            for key, pro, con in [(("class", kind), 1, 0), *((("feed", f), a, b) for f, a, b in votes)]:
+                for k, x in enumerate((n * t * pro, n * t * con, n * (1 - t) * pro, n * (1 - t) * con)):
+                    sums[key][k] += x
+        return sums
+
+    def _sums_there(self, patterns: DataFrame) -> dict[tuple[str, str], tuple]:
+        """The same by Spark."""
+        truth = patterns.withColumn("t", 1 / (1 + F.exp(-self.odds(F.col("kind"), F.col("votes")))))
+        each = truth.select("n", "t", F.explode(_spoken(F.lit(1), F.lit(0))).alias("x"))
+        n, t, pro, con = F.col("n"), F.col("t"), F.col("x.pro"), F.col("x.con")
+        sums = each.groupBy("x.of", "x.name").agg(F.sum(n * t * pro), F.sum(n * t * con), F.sum(n * (1 - t) * pro), F.sum(n * (1 - t) * con))
+        return {(of, name): tuple(x) for of, name, *x in sums.collect()}
+
+    def fit(self, patterns: DataFrame, few: int = FEW_PATTERNS) -> TwoSided:
+        """patterns: (kind, votes, n), n facts of a class with the same votes. Up to few are worked on by the driver, more where they lie."""
+        sen0, spe0, share0 = self.start
+        here = [(k, [tuple(v) for v in votes], n) for k, votes, n in patterns.select("kind", "votes", "n").limit(few + 1).collect()]
+        if len(here) <= few:
+            names = {("class", k) for k, _, _ in here} | {("feed", f) for _, votes, _ in here for f, _, _ in votes}
+        else:
+            here = None
+            spoken = patterns.select(F.explode(_spoken(F.lit(1), F.lit(0))).alias("x")).select("x.of", "x.name").distinct()
+            names = {tuple(r) for r in bounded_rows(spoken, MOST_FEEDS + MOST_CLASSES, "feeds and classes")}
+        self.classes = {n: share0 for of, n in names if of == "class"}
+        self.feeds = {n: (sen0, spe0) for of, n in names if of == "feed"}
+        inside = lambda x: min(max(x, 1e-6), 1 - 1e-6)
+        for _ in range(ROUNDS):
             moved = 0.0
-            for k, (sen0, spe0) in enumerate(zip(*self.start)):
-                yes_true = s * sen0 + sum(n * p for v, n, p in judged if v[k] > 0)
-                all_true = s + sum(n * p for v, n, p in judged if v[k])
-                no_false = s * spe0 + sum(n * (1 - p) for v, n, p in judged if v[k] < 0)
-                all_false = s + sum(n * (1 - p) for v, n, p in judged if v[k])
-                sen, spe = min(max(yes_true / all_true, 1e-6), 1 - 1e-6), min(max(no_false / all_false, 1e-6), 1 - 1e-6)
-                moved = max(moved, abs(sen - self.sensitivity[k]), abs(spe - self.specificity[k]))
-                self.sensitivity[k], self.specificity[k] = sen, spe
-            if moved < 1e-6:
+            for (of, name), (pt, ct, pf, cf) in (self._sums_there(patterns) if here is None else self._sums_here(here)).items():
+                if of == "class":
+                    new = inside((self.weight_of_class * share0 + pt) / (self.weight_of_class + pt + pf))
+                    moved, self.classes[name] = max(moved, abs(new - self.classes[name])), new
+                else:
+                    sen, spe = inside((self.weight * sen0 + pt) / (self.weight + pt + ct)), inside((self.weight * spe0 + cf) / (self.weight + pf + cf))
+                    moved = max(moved, abs(sen - self.feeds[name][0]), abs(spe - self.feeds[name][1]))
+                    self.feeds[name] = (sen, spe)
+            if moved < STILL:
                 break
         return self
 
 
-def judge(facts: DataFrame, votes: list[str], sensitivity: list[float], specificity: list[float], strength: float = 50.0, share: float = 0.0) -> tuple[DataFrame, TwoSided]:
-    """(facts with truth, the fitted model): votes are columns of -1, 0 and 1."""
-    if len(votes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    counted = facts.groupBy(*votes).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = bounded_rows(counted, 3 ** len(votes), "vote patterns")
-    patterns = [(tuple(int(r[v]) for v in votes), r["n"]) for r in rows]
-    model = TwoSided(sensitivity, specificity, strength, share=share).fit(patterns)
-    odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for v, sen, spe in zip(votes, model.sensitivity, model.specificity):
-        odds = odds + F.when(F.col(v) > 0, math.log(sen / (1 - spe))).when(F.col(v) < 0, math.log((1 - sen) / spe)).otherwise(0.0)
-    return facts.withColumn("truth", 1 / (1 + F.exp(-odds))), model
+def _spoken(one: Column, none: Column) -> Column:
+    """Of a pattern its class, as if it voted for it, and its votes: array<struct<of, name, pro, con>>."""
+    of_class = F.struct(F.lit("class").alias("of"), F.col("kind").alias("name"), one.cast("long").alias("pro"), none.cast("long").alias("con"))
+    return F.concat(F.array(of_class), F.transform("votes", lambda v: F.struct(F.lit("feed").alias("of"), v["feed"].alias("name"), v["pro"].alias("pro"), v["con"].alias("con"))))
+
+
+def judge(facts: DataFrame, model: TwoSided | None = None) -> tuple[DataFrame, TwoSided]:
+    """(facts with odds, the fitted model): facts have kind and votes."""
+    facts = facts.withColumn("votes", F.array_sort("votes"))
+    patterns = cut(facts.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")))
+    model = (model or TwoSided()).fit(patterns)
+    return facts.withColumn("odds", model.odds(F.col("kind"), F.col("votes"))), model
 
 
 def written_alike(value: Column) -> Column:
@@ -94,25 +129,6 @@ def written_alike(value: Column) -> Column:
     return F.when(text != "", text)
 
 
-def made_of_null_words(value: Column) -> Column:
-    """Whether there is nothing but words that stand for a missing value, and signs."""
-    letters = F.regexp_replace(F.lower(value), r"(?<=\b\p{L})[./](?=\p{L}\b)", "")  # n/a, n.v.t.
-    return F.regexp_replace(letters, r"[\P{L}]+", " ").rlike(rf"^ ?(?:(?:{_WORDS}) ?)*$") & ~F.lower(value).rlike(r"\d{3}")
-
-
-def badly_shaped(field: Column, value: Column) -> Column:
-    """Whether a value lacks the form that values of its field have."""
-    digits = F.regexp_replace(value, r"\D", "")
-    one_sign = F.regexp_replace(value, r"[^\p{L}\p{N}]", "").rlike(r"^(.?)\1*$")
-    return (
-        F.when(field == "name", one_sign | ~value.rlike(r"\p{L}{2}"))
-        .when(field == "addr", one_sign | ~value.rlike(r"\p{L}{2}"))
-        .when(field == "telecom", (F.length(digits) < 6) & ~value.contains("@") | digits.rlike(r"^(\d)\1*$"))
-        .when(field == "birth", value.rlike(r"^1[89]00-01-01|^(?:1[0-7]00|0\d{3}|9999)-|^1111-11-11"))
-        .otherwise(F.lit(False))
-    )
-
-
 def long_fields(records: DataFrame, keys: list[Column]) -> DataFrame:
     """(keys..., field, value): the fields of FIELDS that are not blank, written alike."""
     text = {f: F.date_format(F.col(c), "yyyy-MM-dd") if f == "birth" else F.col(c) for f, c in FIELDS.items()}
@@ -121,47 +137,54 @@ def long_fields(records: DataFrame, keys: list[Column]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "x"], "x.field", "x.value").where("value is not null")
 
 
-#: start values of the evidence of fillers (words, form, spread); they count as `strength` votes, or as `share` times the
-#: facts if that is more, so that what decides is the same for few and many facts
-EVIDENCE = {"sensitivity": [0.999, 0.999, 0.999], "specificity": [0.9, 0.7, 0.5], "strength": 200.0, "share": 5.0}
+def gist(field: Column, value: Column) -> Column:
+    """What of a value the same person's other records have in common with it: the longest word of a name or an address,
+    the last eight digits of a telephone number, else the whole value."""
+    words = F.filter(F.split(value, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    digits = F.substring(F.regexp_replace(value, r"\D", ""), -8, 8)
+    own = F.when(field.isin("name", "addr"), longest).when((field == "telecom") & (digits != ""), digits)
+    return F.coalesce(own, value)
 
 
-def fillers(values: DataFrame, group: str) -> DataFrame:
-    """(field, value, truth): values that say nothing about a person, judged from three kinds of evidence.
+def fillers(values: DataFrame, group: str, model: TwoSided | None = None) -> tuple[DataFrame, TwoSided]:
+    """((field, value) of the values that say nothing about a person, the model): values has group, field, value and feed.
 
-    The evidence: the words are words for nothing; the form is not the field's; the value is in many more groups than
-    values of that field are on average. The last only supports the others: common names, dates, or the address of a
-    home are in more groups the more rows there are, so where nothing else is wrong with a value it is silent.
+    Of the other records of a group that has the value one votes: for it, if its value has the same gist; else against
+    it. Where several could, it is one that agrees. Values of a field are classed by the power of 2 of their groups.
     """
-    spread = values.groupBy("field", "value", group).agg(F.lit(1).alias("one")).groupBy("field", "value").agg(F.count(F.lit(1)).alias("groups"))
-    mean = spread.groupBy("field").agg(F.avg("groups").alias("mean"))
-    facts = spread.join(F.broadcast(mean), "field")  # one row for each of the four fields
-    vote = lambda bad: F.when(bad, -1).otherwise(1)
-    facts = facts.select(
-        "field",
-        "value",
-        vote(made_of_null_words(F.col("value"))).alias("words"),
-        vote(badly_shaped(F.col("field"), F.col("value"))).alias("form"),
-        (F.col("groups") > 10 * F.col("mean") + 5).alias("wide"),
-    )
-    spread = F.when(~F.col("wide"), 1).when((F.col("words") < 0) | (F.col("form") < 0), -1).otherwise(0)
-    judged, _ = judge(facts.withColumn("spread", spread), ["words", "form", "spread"], **EVIDENCE)
-    return judged.where("truth < 0.5").select("field", "value", "truth")
-
-
-def survivors(records: DataFrame) -> DataFrame:
+    rows = values.select(F.col(group).alias("g"), "field", "value", F.coalesce("feed", F.lit("")).alias("feed"), gist(F.col("field"), F.col("value")).alias("gist"))
+    common = rows.groupBy("field", "value").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least <> most").select("field", "value")
+    by_gist = rows.groupBy("g", "field", "gist").agg(F.count(F.lit(1)).alias("k"), F.min("feed").alias("first"), F.max("feed").alias("last"))
+    around = by_gist.groupBy("g", "field").agg(F.min(F.struct("first", "gist")).alias("low"), F.max(F.struct("last", "gist")).alias("high"))
+    asked = rows.join(common, ["field", "value"], "left_semi").select("g", "field", "value", "gist").distinct()
+    met = asked.join(by_gist, ["g", "field", "gist"]).join(around, ["g", "field"])
+    pro = F.col("k") > 1
+    other = F.when(F.col("low.gist") != F.col("gist"), F.col("low.first")).when(F.col("high.gist") != F.col("gist"), F.col("high.last"))
+    voter = F.when(pro, F.col("last")).otherwise(other)  # null: nobody else speaks
+    said = met.select("field", "value", voter.alias("feed"), pro.cast("long").alias("pro"), (~pro & other.isNotNull()).cast("long").alias("con"))
+    by_feed = said.groupBy("field", "value", "feed").agg(F.sum("pro").alias("pro"), F.sum("con").alias("con"), F.count(F.lit(1)).alias("n"))
+    vote = F.when(F.col("feed").isNotNull(), F.struct("feed", "pro", "con"))
+    facts = by_feed.groupBy("field", "value").agg(F.collect_list(vote).alias("votes"), F.sum("n").alias("n"))
+    facts = facts.withColumn("kind", F.concat_ws("|", "field", F.floor(F.log2("n")).cast("string")))
+    judged, model = judge(cut(facts), model)
+    return judged.where(F.col("odds") < -math.log(CERTAIN)).select("field", "value"), model
+
+
+def survivors(records: DataFrame, feed: Column | None = None) -> DataFrame:
     """(id_cluster, survivor_id, name_id, birth_id, addr_id, telecom_id): one row per _id_cluster of two or more records.
 
     Records rank by greater weight (missing is 0), later timestamp, smaller _id; a field comes from the first record
-    that has a value which was not judged a filler.
+    that has a value which was not judged a filler. feed names the interface that a record came by, _mif if none is given.
     """
     kept = ["_id", "_id_cluster", "_record_weight", "_lake_timestamp", *FIELDS.values()]
-    rows = latest(records.where("_id is not null").select(*kept), "_id").where("_id_cluster is not null")
+    feed = F.col("_mif") if feed is None else feed
+    rows = latest(records.where("_id is not null").select(*kept, feed.cast("string").alias("__feed")), "_id").where("_id_cluster is not null")
     # the greatest is the first; null timestamps are the least, and come last
     order = F.struct(F.coalesce("_record_weight", F.lit(0)).alias("w"), F.col("_lake_timestamp").alias("t"), (-F.col("_id")).alias("id"))
-    rows = rows.select("_id_cluster", order.alias("order"), *FIELDS.values())
-    values = long_fields(rows, [F.col("_id_cluster"), F.col("order")])
-    none = fillers(values, "_id_cluster").select("field", "value")
+    rows = cut(rows.select("_id_cluster", order.alias("order"), F.col("__feed").alias("feed"), *FIELDS.values()))
+    values = long_fields(rows, [F.col("_id_cluster"), F.col("order"), F.col("feed")])
+    none, _ = fillers(values, "_id_cluster")
     real = values.join(none, ["field", "value"], "left_anti").select("_id_cluster", "order", "field")
     every = rows.select("_id_cluster", "order", F.lit("record").alias("field"))
     first = every.unionByName(real).groupBy("_id_cluster")
@@ -179,23 +202,20 @@ def fused(records: DataFrame, feed: Column) -> DataFrame:
     """(id_cluster, field, values): of each group and field every value that is judged true, the likeliest first.
 
     A feed votes for a value of a group if one of its records there states it, and against if it states only others;
-    its sensitivity and specificity come from all groups. The least frequent feeds, beyond MOST_SOURCES, are one.
+    its sensitivity and specificity come from all groups.
     """
-    rows = latest(records.where("_id is not null").select("_id", "_id_cluster", "_lake_timestamp", feed.alias("__feed"), *FIELDS.values()), "_id")
-    values = long_fields(rows.where("_id_cluster is not null"), [F.col("_id_cluster"), F.coalesce("__feed", F.lit("")).alias("feed")])
-    none = fillers(values, "_id_cluster").select("field", "value")
+    rows = latest(records.where("_id is not null").select("_id", "_id_cluster", "_lake_timestamp", feed.cast("string").alias("__feed"), *FIELDS.values()), "_id")
+    rows = cut(rows.where("_id_cluster is not null"))
+    values = long_fields(rows, [F.col("_id_cluster"), F.coalesce("__feed", F.lit("")).alias("feed")])
+    none, _ = fillers(values, "_id_cluster")
     values = values.join(none, ["field", "value"], "left_anti")
-    feeds = [r["feed"] for r in values.groupBy("feed").count().orderBy(F.desc("count"), "feed").limit(MOST_SOURCES - 1).collect()]
-    number = F.lit(len(feeds))
-    for k, f in enumerate(feeds):
-        number = F.when(F.col("feed") == f, k).otherwise(number)
-    said = values.groupBy("_id_cluster", "field", "value", number.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    by_fact = said.groupBy("_id_cluster", "field", "value").agg(F.collect_set("k").alias("pro"), F.sum("n").alias("n"))
-    by_group = said.groupBy("_id_cluster", "field").agg(F.collect_set("k").alias("spoke"))
-    facts = by_fact.join(by_group, ["_id_cluster", "field"])
-    votes = [f"v{k}" for k in range(len(feeds) + 1)]
-    facts = facts.select("*", *[F.when(F.array_contains("pro", k), 1).when(F.array_contains("spoke", k), -1).otherwise(0).alias(v) for k, v in enumerate(votes)])
-    judged, _ = judge(facts, votes, [0.8] * len(votes), [0.9] * len(votes))
-    likely = F.array_sort(F.collect_list(F.struct((-F.col("truth")).alias("t"), (-F.col("n")).alias("n"), F.col("value").alias("value"))))
-    kept = judged.where("truth >= 0.5").groupBy("_id_cluster", "field").agg(likely.alias("l"))
+    said = cut(values.groupBy("_id_cluster", "field", "value", "feed").agg(F.count(F.lit(1)).alias("n")))
+    by_fact = said.groupBy("_id_cluster", "field", "value").agg(F.collect_list("feed").alias("pro"), F.sum("n").alias("n"))
+    by_group = said.groupBy("_id_cluster", "field").agg(F.collect_set("feed").alias("spoke"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    votes = F.transform("spoke", lambda f: F.struct(f.alias("feed"), F.when(F.array_contains("pro", f), one).otherwise(none).alias("pro"), F.when(F.array_contains("pro", f), none).otherwise(one).alias("con")))
+    facts = by_fact.join(by_group, ["_id_cluster", "field"]).select("_id_cluster", "field", "value", "n", F.col("field").alias("kind"), votes.alias("votes"))
+    judged, _ = judge(facts, TwoSided(0.8, 0.9, 0.5))
+    likely = F.array_sort(F.collect_list(F.struct((-F.col("odds")).alias("t"), (-F.col("n")).alias("n"), F.col("value").alias("value"))))
+    kept = judged.where("odds >= 0").groupBy("_id_cluster", "field").agg(likely.alias("l"))
     return kept.select(F.col("_id_cluster").alias("id_cluster"), "field", F.transform("l", lambda x: x["value"]).alias("values"))
