@@ -244,6 +244,46 @@ def test_batches_against_history(spark):
     assert segments.append_batches(df, log.limit(0)).count() == 0
 
 
+def _mistyped():
+    t, b = D(2020, 1, 1), D(1950, 5, 5)
+    data = [
+        (1, 1, [("R", "7120800012")], "Ann Lee", b, "F", "Road 5, Town", "0612345678", t),
+        (2, None, [("R", "712080012")], "Ann Leeh", b, "F", None, None, t),  # a digit is missing, name, date and gender agree
+        (3, None, [("R", "7120800013")], "Ann Lee", b, None, None, None, t),  # too little agrees for another identifier
+        (4, None, [("R", "7120800013")], "Bob Jones", D(1980, 1, 1), "F", None, None, t),
+        (5, None, [("S", "7120800012")], "Ann Lee", b, "F", None, None, t),
+        (6, None, [("R", "7120800112")], "Ann Lee", b, "F", None, "0612345678", t),
+    ]
+    return data, [(k, 1 + (k == 6)) for k, *_ in data if k > 1]
+
+
+def test_mistyped_identifiers_are_found_by_the_index(spark, monkeypatch):
+    data, log = _mistyped()
+    df, log = spark.createDataFrame(data, RECORD), spark.createDataFrame(log, "id long, batch_no long")
+    known = lambda: {r["id"]: r["id_cluster"] for r in segments.append_batches(df, log).collect() if r["known"]}
+    assert known() == {2: 1, 6: 1}
+    probe = segments.SegmentIndex.probe
+    monkeypatch.setattr(segments.SegmentIndex, "probe", lambda self, strings: probe(self, strings).where("distance = 0"))  # an equality join
+    assert known() == {}
+
+
+def test_batches_appended_to_a_stored_history(spark, tmp_path):
+    """One batch after the other, each with what is stored of those before, gives what the replay of all gives."""
+    data, log = _mistyped()
+    t, b, ident = D(2020, 1, 1), D(1990, 2, 2), lambda *x: [("R", e) for e in x]
+    data += [(10, None, ident("771177"), "Cara New", b, "F", "New 1, City", None, t), (11, None, ident("771177", "881188"), "Cara Neww", b, "F", None, None, t), (12, None, ident("881188"), "C. New", b, None, None, None, t), (13, None, None, "Cara New", b, None, "new 1 city", None, t)]
+    log += [(10, 1), (11, 2), (12, 3), (13, 3)]
+    df = spark.createDataFrame(data, RECORD)
+    want = {r["id"]: (r["id_cluster"], r["known"]) for r in segments.append_batches(df, spark.createDataFrame(log, "id long, batch_no long")).collect()}
+    assert want[12] == (10, True) and want[13] == (10, True)
+    history, found = segments.accept_history(df, str(tmp_path / "history")), {}
+    for k in (1, 2, 3):
+        again = segments.History(spark, str(tmp_path / "history"))  # nothing but the folder is kept
+        batch = df.where(F.col("_id").isin([i for i, n in log if n == k]))
+        found |= {r["id"]: (r["id_cluster"], r["known"]) for r in segments.append_batch(again, batch, k).collect()}
+    assert found == want and history.index().probe(spark.createDataFrame([("R", "88118")], "block string, s string")).count() == 1
+
+
 def test_identifier_of_very_many_names(spark):
     t = D(2020, 1, 1)
     ident = [("R", "55667788")]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalis.llm import bpe, components, packing, quality, segments, topn, truth
-from vitalis.session import table
+from vitalis.session import scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_clusters(spark, d).where("known").select("id", "id_cluster")
 
 
+def p7_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The first batch against a stored history: what one more batch costs."""
+    records, log = table(spark, d, "resolution_a"), table(spark, d, "append_id").where("schema_name = 'rim2011' and table_name = 'Person' and id is not null")
+    history = segments.accept_history(records, scratch(spark, "history"))
+    first = log.groupBy("id").agg(F.min("batch_no").alias("batch_no")).where("batch_no = 1").withColumnRenamed("id", "_id")
+    return segments.append_batch(history, records.where("_id_cluster is null").join(first, "_id", "left_semi"), 1)
+
+
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return segments.near_identifiers(table(spark, d, "resolution_a"))
 
@@ -71,7 +79,7 @@ def _scored(spark: SparkSession, d: str, with_tails: bool) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_fused, p6_found, p7_found, p7_clusters, p7_near, p8_ids, p8_decoded, p9_containers, p10_found, p10_statistics)
+    f.__name__: f for f in (p1_found, p3_found, p3_fused, p6_found, p7_found, p7_clusters, p7_appended, p7_near, p8_ids, p8_decoded, p9_containers, p10_found, p10_statistics)
 }
 
 SQL: dict[str, str] = {
