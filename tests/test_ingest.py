@@ -84,7 +84,7 @@ def test_generated_rows(spark):
     some = bayes.masked(full, ["a", "b"], 0.9, "id", 1)
     assert some.columns == full.columns and some.where("a is null and b is null").count() == 0 and some.where("a is null").count() > 100
     people = spark.createDataFrame([(1, "1950-01-01")], "i long, b string").withColumn("b", F.to_date("b"))
-    v = bayes.visits(people, {50: 3, 51: 0, 90: 2}, "b", "2010-01-01")
+    v = bayes.visits(people, people.columns[0], {50: 3, 51: 0, 90: 2}, "b", "2010-01-01")
     assert v.count() == 3 and v.columns == ["i", "b", "age", "exam_date"]
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitalis.plans import process, records, trends, warehouse
+from vitalis.plans import lake, process, records, trends, warehouse
 
-_MODULES = (process, trends, warehouse, records)
+_MODULES = (process, trends, warehouse, records, lake)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()}
 FLAGSHIP = "q03_process_by_org"

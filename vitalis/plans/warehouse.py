@@ -312,13 +312,11 @@ SQL = {
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Clinical documents and broken messages through the streaming pipeline: how many were loaded and quarantined."""
-    import uuid
-
-    from vitalis.session import shared_dir
+    from vitalis.session import scratch
     from vitalis.sources.files import message_stream
     from vitalis.streaming.ingest import Pipeline
 
-    at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    at = scratch(spark, "ingest")
     docs = table(spark, d, "act").where("_id is not null")
     root = F.when(F.col("rim_class") == "Document", "ClinicalDocument").when(F.col("rim_class") == "Act", "PatientUpdate").otherwise("Unknown")
     body = F.concat(F.lit("<v3:"), root, F.lit(' xmlns:v3="urn:hl7-org:v3"><id extension="'), F.col("_id").cast("string"), F.lit('"/>'), F.when(F.col("status_code") == "active", "").otherwise(F.concat(F.lit("</v3:"), root, F.lit(">"))))
@@ -337,8 +335,12 @@ def bn_sample(spark: SparkSession, d: str) -> DataFrame:
 
     p = V.persons(spark, d).select("_id", "gender", (2024 - F.year("birth_date")).alias("age"))
     smoking = Discrete("smoking", [("F", "yes", 0.2), ("F", "no", 0.8), ("M", "yes", 0.3), ("M", "no", 0.7)], ["gender"])
-    return sample(p, [Numeric("pressure", 100.0, 10.0, {"age": 0.5}), smoking], seed=7)
+    drawn = sample(p, [Numeric("pressure", 100.0, 10.0, {"age": 0.5}), smoking], seed=7, key=["_id"])
+    return drawn.withColumn("pressure", F.round("pressure", 6)).withColumn("age", F.col("age").cast("long"))
 
 
 QUERIES |= {f.__name__: f for f in (stream_ingest, bn_sample)}
 SQL["stream_ingest"] = """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN status_code = 'active' THEN 'validation' WHEN rim_class = 'Document' THEN 'CDA_R2' WHEN rim_class = 'Act' THEN 'TZDU_IN000003UV' ELSE 'internal' END AS kind FROM act) GROUP BY kind"""
+_U = lambda name: f"((CAST('0x' || substr(md5(_id || '|7|{name}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+SQL["bn_sample"] = with_views("persons", f"""p AS (SELECT _id, gender, 2024 - year(birth_date) AS age FROM persons)
+    SELECT *, round(100 + 0.5 * age + 10 * sqrt(-2 * ln({_U("pressure#1")})) * cos(2 * pi() * {_U("pressure#2")}), 6) AS pressure, CASE WHEN {_U("smoking")} < CASE gender WHEN 'F' THEN 0.2 ELSE 0.3 END THEN 'yes' ELSE 'no' END AS smoking FROM p""")

@@ -89,9 +89,18 @@ class VersionedTable:
             raise ValueError("there is no version to delete from")
         return self.write(old.join(keys.select(*on).distinct(), on, "left_anti"))
 
+    def truncate(self) -> str:
+        """A new version without rows, as a staging table after its batch was loaded."""
+        old = self.read()
+        if old is None:
+            raise ValueError("there is no version to empty")
+        return self.write(old.limit(0))
+
 
-def analysed(df: DataFrame, name: str) -> DataFrame:
-    """Materialises a result as a table of the catalogue, with statistics for the planner."""
-    df.write.mode("overwrite").saveAsTable(name)
+def analysed(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Materialises a result as a table of the catalogue, with statistics for the planner; path is where it is stored."""
+    if path:  # the catalogue's own folder may hold a table of this name from another session
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    (df.write.option("path", path) if path else df.write).mode("overwrite").saveAsTable(name)
     df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
     return df.sparkSession.table(name)

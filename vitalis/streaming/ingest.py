@@ -7,6 +7,7 @@ that is run again after a failure replaces what it wrote before.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitalis.functions.semantics import compact_time, oid_of, telecom_use
+from vitalis.session import cut, discard, remove
 
 #: fixed values: root element names and the content they announce
 CONTENT_TYPES = {"ClinicalDocument": "CDA_R2", "OrganizationUpdate": "TZDU_IN000001UV", "PractitionerUpdate": "TZDU_IN000002UV", "PatientUpdate": "TZDU_IN000003UV"}
@@ -90,35 +92,59 @@ def counters(loaded: DataFrame) -> DataFrame:
     return loaded.groupBy("content_type").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("payload")).alias("characters"), F.count(F.when(F.col("content_type") == "CDA_R2", 1)).alias("documents"))
 
 
+#: Failures of the machines, not of the messages: the batch is not loaded and not set aside, but tried again.
+_NOT_THE_DATA = re.compile("No space left|ExecutorLost|FetchFailed|OutOfMemory|Connection refused|SparkContext was shut down|Job .* cancelled")
+#: How often a failing part of a batch is halved; messages that are together even then are set aside together.
+MOST_HALVINGS = 24
+
+
 class Pipeline:
-    """Loads a stream of messages into folders of good and bad rows."""
+    """Loads a stream of messages into folders of good and bad rows.
+
+    A batch whose load fails is halved, by a hash of the messages, until the messages that fail are alone; they are set
+    aside with the reason, and the others are loaded. A message that fails costs as many loads as the batch has halvings.
+    """
 
     def __init__(self, spark: SparkSession, good: str, bad: str, checkpoint: str, load: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.good, self.bad, self.checkpoint, self.load = spark, good, bad, checkpoint, load
         self.sent = self.loaded = self.quarantined = 0
 
     def batch(self, df: DataFrame, number: int) -> None:
-        rows = classified(df).withColumn("batch_no", F.lit(number)).persist()
+        # stored, as it may be read again and again, and the time of ingress must not change
+        rows = cut(classified(df).withColumn("batch_no", F.lit(number)).withColumn("__hash", F.xxhash64("payload", "routing_key")))
         try:
-            try:
-                fine = rows.where("error is null")
-                out = self.load(fine) if self.load else fine.select("payload", "routing_key", "ingress_ts", "content_type")
-                out.write.mode("overwrite").parquet(f"{self.good}/batch={number}")
-                failed = rows.where("error is not null").select(F.col("error.type").alias("type"), F.col("error.reason").alias("reason"), F.col("payload").alias("source"))
-            except Exception as e:  # the whole batch goes to quarantine, and nothing of it stays loaded
-                self._drop(f"{self.good}/batch={number}")
-                fine = rows.limit(0)
-                failed = rows.select(F.lit("internal").alias("type"), F.lit(str(e)[:500]).alias("reason"), F.col("payload").alias("source"))
+            remove(self.spark, f"{self.good}/batch={number}")  # of an earlier run of the same batch
+            poison = self._load(rows.where("error is null"), f"{self.good}/batch={number}")
+            error = F.col("error")
+            for condition, reason in poison:
+                error = F.when(condition & F.col("error").isNull(), F.struct(F.lit("load").alias("type"), F.lit(reason).alias("reason"))).otherwise(error)
+            rows_judged = rows.withColumn("error", error)
+            failed = rows_judged.where("error is not null").select(F.col("error.type").alias("type"), F.col("error.reason").alias("reason"), F.col("payload").alias("source"))
             failed.write.mode("overwrite").parquet(f"{self.bad}/batch={number}")
-            self.sent += rows.count()
-            self.quarantined += failed.count()
-            self.loaded += fine.count()
+            sent, bad = rows_judged.agg(F.count(F.lit(1)), F.count("error")).head()
+            self.sent, self.quarantined, self.loaded = self.sent + sent, self.quarantined + bad, self.loaded + sent - bad
         finally:
-            rows.unpersist()
+            discard(rows)
 
-    def _drop(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def _load(self, fine: DataFrame, path: str, depth: int = 0, part: str = "0", here: Column | None = None) -> list[tuple[Column, str]]:
+        """Loads what it can, and gives (condition, reason) of what it can't."""
+        some = fine if here is None else fine.where(here)
+        plain = some.drop("__hash", "error")
+        out = self.load(plain) if self.load else plain.select("payload", "routing_key", "ingress_ts", "content_type")
+        try:
+            out.write.mode("overwrite").parquet(f"{path}/part={part}")
+            return []
+        except Exception as e:
+            if _NOT_THE_DATA.search(str(e)):
+                raise
+            remove(self.spark, f"{path}/part={part}")
+            if depth == MOST_HALVINGS or some.select("__hash").distinct().limit(2).count() < 2:
+                return [(F.lit(True) if here is None else here, str(e)[:500])]
+        found = []
+        for bit in (0, 1):
+            half = F.expr(f"shiftright(__hash, {depth}) & 1") == bit
+            found += self._load(fine, path, depth + 1, part + str(bit), half if here is None else here & half)
+        return found
 
     def start(self, messages: DataFrame) -> StreamingQuery:
         """Works off what is there in micro-batches, then ends; called again it goes on where it stopped."""
