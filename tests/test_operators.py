@@ -276,6 +276,15 @@ def test_context_conduction(spark):
     assert rows(out, "act", "role", "origin") == [(11, 8, 2), (12, 7, 1), (12, 7, 4)]
 
 
+def test_conduction_starts_from_conducted_participations_too(spark):
+    """A conducted seed goes on below, but not to the act of its original; what else it has goes with it."""
+    columns = "_id long, act long, role long, type_code string, context_control_code string, origin long, negation boolean"
+    p = spark.createDataFrame([(1, 10, 7, "RCT", "AP", None, True), (2, 11, 7, "RCT", "AP", 1, None), (3, 11, 8, "RCT", "AN", 1, None), (4, 20, 9, "AUT", "OP", 99, None), (5, 12, None, "AUT", "AN", None, None), (6, 13, None, "AUT", "AN", None, None)], columns)
+    r = spark.createDataFrame([(11, 10, True), (11, 12, True), (12, 13, True), (13, 10, True), (20, 21, True)], "source long, target long, conduction boolean")
+    out = graph.conduct_context(p, r)
+    assert rows(out, "act", "role", "origin", "negation") == [(10, None, 6, None), (12, 7, 1, None), (13, 7, 1, None), (13, None, 5, None)]
+
+
 def test_row_ids_are_consecutive(spark):
     out = graph.row_ids(spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x")), ["x"]).orderBy("x").collect()
     assert [r["row_id"] for r in out] == list(range(1, 1001))

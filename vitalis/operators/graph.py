@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,31 +34,39 @@ def closure(edges: DataFrame, starts: DataFrame, source: str, target: str, most_
 def conduct_context(participations: DataFrame, relations: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """New participations that context conduction gives the acts below, with the original's id in origin.
 
-    participations: _id, act, role, type_code, context_control_code, origin; relations: source, target, conduction.
-    Seeds are participations with a control code that are original or propagating; they pass over conducting relations,
-    beyond the first only if propagating, never back to an act on their way. Rows that are there already are left out.
+    participations: _id, act, role, context_control_code, origin, and what else is conducted with them (type, function,
+    time, negation and the like: every other column); relations: source, target, conduction. Seeds are participations
+    with a control code that are original or propagating, and whose original is there; they pass over conducting
+    relations, beyond the first only if propagating, never to their own act nor to the act of their original. An act that
+    has the same participation already gets none; a null role is the same as none. Each pair of seed and act comes once,
+    so cycles end; only pairs are carried from level to level, and the other columns are joined at the end.
     """
     code = F.col("context_control_code")
+    own = [c for c in participations.columns if c not in ("_id", "act", "origin")]
     seed = participations.where(code.isNotNull() & (F.col("origin").isNull() | subsumes("propagating", code)))
+    of = participations.select(F.col("_id").alias("__of"), F.col("act").alias("__first"))
+    seed = cut(seed.withColumn("__origin", F.coalesce("origin", "_id")).join(of, F.col("__origin") == F.col("__of")))
     edges = relations.where("conduction").select(F.col("source").alias("__from"), F.col("target").alias("__to")).distinct()
-    kept = ["role", "type_code", "context_control_code"]
-    frontier = cut(seed.select(F.coalesce("origin", "_id").alias("origin"), *kept, "act", F.array("act").alias("way")))
-    found = None
+    start = seed.select("_id", subsumes("propagating", code).alias("__on"), "__first", "act")
+    frontier, levels = start, [start.select("_id", "act")]
     for level in range(1, most_rounds + 1):
-        some = frontier if level == 1 else frontier.where(subsumes("propagating", code))
-        step = some.join(edges, F.col("act") == F.col("__from")).where(~F.array_contains("way", F.col("__to")))
-        frontier = cut(step.select("origin", *kept, F.col("__to").alias("act"), F.concat("way", F.array("__to")).alias("way")))
+        some = frontier if level == 1 else frontier.where("__on")
+        step = some.join(edges, F.col("act") == F.col("__from")).where(F.col("__to") != F.col("__first"))
+        step = step.select("_id", "__on", "__first", F.col("__to").alias("act")).distinct()
+        frontier = cut(step.join(reduce(DataFrame.unionByName, levels), ["_id", "act"], "left_anti"))
         if frontier.isEmpty():
             break
-        new = frontier.select("origin", *kept, "act")
-        found = new if found is None else found.unionByName(new)
-    if found is None:
-        return participations.select("act", *kept, F.col("_id").alias("origin")).limit(0)
-    there = participations.select(*[F.col(c).alias(f"__{c}") for c in ("act", *kept)])
-    same = F.lit(True)
-    for c in ("act", *kept):
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return found.select("act", *kept, "origin").distinct().join(there, same, "left_anti")
+        levels.append(frontier.select("_id", "act"))
+    else:
+        raise RuntimeError(f"not conducted after {most_rounds} levels")
+    reached = reduce(DataFrame.unionByName, levels[1:], levels[0].limit(0)).withColumnRenamed("act", "__act")
+    found = reached.join(seed.drop("act", "origin"), "_id").select(F.col("__act").alias("act"), *own, F.col("__origin").alias("origin")).distinct()
+    there = participations.select(*[F.col(c).alias(f"__{c}") for c in ("act", *own)])
+    same = (F.col("act") == F.col("__act")) & (F.col("role") == F.col("__role"))
+    for c in own:
+        if c != "role":
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return found.join(there, same, "left_anti")
 
 
 def components_by_minimum(edges: DataFrame, nodes: DataFrame, most_rounds: int = 200) -> DataFrame:

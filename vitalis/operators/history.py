@@ -40,3 +40,25 @@ def periods(spark, as_of: str, count: int, months: int) -> DataFrame:
     """(period, from_date, to_date): consecutive periods back from as_of; both ends belong to a period."""
     back = lambda n: F.expr(f"cast(add_months(date'{as_of}', cast({n} as int)) as timestamp_ntz)")
     return spark.range(count).select(F.col("id").alias("period"), back(f"-{months} * (id + 1)").alias("from_date"), back(f"-{months} * id").alias("to_date"))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], decimals: int) -> DataFrame:
+    """(keys..., a column per share): exact percentiles, interpolated between neighbouring values; nulls don't count.
+
+    Equal values are counted before the shuffle. The distinct values of a group are sorted and streamed with a running
+    count, so no task holds a group; from each only the values at the two places around a share are kept.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    total = counted.groupBy(*keys).agg(F.sum("__n").alias("__total")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__total")
+    upto = counted.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    placed = upto.join(total, same)
+    columns = []
+    for name, share in shares.items():
+        at = (F.col("__total") - 1) * share
+        of = lambda place: F.max(F.when((F.col("__upto") - F.col("__n") <= place) & (place < F.col("__upto")), F.col(value)))
+        low, high, rest = of(F.floor(at)), of(F.ceil(at)), F.max(at - F.floor(at))
+        columns.append(F.round(low + (high - low) * rest, decimals).alias(name))
+    return placed.groupBy(*keys).agg(*columns)

@@ -117,8 +117,7 @@ def q09_percentile(spark: SparkSession, d: str) -> DataFrame:
     """Patients below the 5th or above the 95th percentile of their own organisation."""
     o = V.observations(spark, d).where("code in ('click', 'view')").join(V.patients(spark, d).select(F.col("_id").alias("ptnt_id"), F.col("scoper").alias("org_id")), "ptnt_id")
     o = o.withColumn("x", F.col("pq_value").cast("double"))
-    # percentile keeps counts per distinct value; partial results are merged, no group is collected
-    bounds = o.groupBy("org_id", "code").agg(F.round(F.percentile("x", 0.05), 4).alias("p5"), F.round(F.percentile("x", 0.95), 4).alias("p95"))
+    bounds = history.percentiles(o, ["org_id", "code"], "x", {"p5": 0.05, "p95": 0.95}, decimals=4)
     means = o.groupBy("org_id", "ptnt_id", "code").agg(F.round(_mean("pq_value"), 4).alias("mean"))
     latest = history.latest_of(o, ["org_id", "ptnt_id", "code"]).select("org_id", "ptnt_id", "code", "x")
     rows = latest.join(means, ["org_id", "ptnt_id", "code"]).join(bounds, ["org_id", "code"])
