@@ -80,13 +80,15 @@ class Reader:
         self._whole = [re.compile(rf"\s*(?:{SPELLINGS.get(u, '(?!)')}|{re.escape(u)})\s*$", flags) for u in self.units]
         self._quantity = re.compile(rf"{_NUMBER}\s*(?:{any_unit}){_AFTER}", flags)
         self._mention = re.compile(rf"(?<![\w/\[.-])(?:{any_unit}){_AFTER}", flags)
+        self._seen: dict[str, str | None] = {}  # the same few spellings come again and again
         self._front = re.compile(r"\s*([+-]?\d+(?:[.,]\d+)*)\s*(?!\d)(\D.*)$", re.S)
 
     def unit_of(self, text: str) -> str | None:
-        for unit, whole in zip(self.units, self._whole):
-            if whole.match(text):
-                return unit
-        return None
+        if text not in self._seen:
+            if len(self._seen) >= 10_000:
+                self._seen.clear()
+            self._seen[text] = next((unit for unit, whole in zip(self.units, self._whole) if whole.match(text)), None)
+        return self._seen[text]
 
     def _named(self, m: re.Match) -> str:
         return self.units[int(next(k for k, v in m.groupdict().items() if v is not None)[1:])]

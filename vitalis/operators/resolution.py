@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalis.operators.graph import components_by_minimum
@@ -20,10 +20,10 @@ def matched(new: DataFrame, known: DataFrame, match: str = "hash") -> DataFrame:
     Of several the one with the smallest cluster, then the smallest id.
     """
     old = exploded(known).join(known.select("_id", "_id_cluster", "_record_hash"), "_id")
-    old = old.withColumnsRenamed({"_id": "twin", "_id_cluster": "cluster", "_record_hash": "known_hash"})
-    met = exploded(new).join(new.select("_id", "_record_hash"), "_id").join(old, ["root", "extension"])
-    if match == "hash":
-        met = met.where("_record_hash = known_hash")
+    keys = ["root", "extension", *(["_record_hash"] if match == "hash" else [])]
+    # an identifier that very many accepted records share is one row here, so the join gives no pairs of records
+    old = old.groupBy(*keys).agg(F.min(F.struct(F.col("_id_cluster").alias("cluster"), F.col("_id").alias("twin"))).alias("least")).select(*keys, "least.cluster", "least.twin")
+    met = exploded(new).join(new.select("_id", "_record_hash"), "_id").join(old, keys)
     best = met.groupBy("_id").agg(F.min(F.struct("cluster", "twin")).alias("b"))
     return best.select("_id", "b.cluster", "b.twin")
 
@@ -55,8 +55,10 @@ def resolve(new: DataFrame, known: DataFrame | None = None, match: str = "hash")
         met = cut(matched(new, known, match))
         rest = new.join(met.select("_id"), "_id", "left_anti")
     groups = clustered(rest)
-    w = Window.partitionBy("cluster", "_record_hash").orderBy((F.col("_id") != F.col("cluster")).cast("int"), F.desc(F.coalesce("_record_weight", F.lit(0))), "_id")
-    keep = rest.join(groups, "_id").select("_id", "cluster", F.first("_id").over(w).alias("keeper"))
+    placed = rest.join(groups, "_id").select("_id", "cluster", F.col("_record_hash").alias("hash"), F.coalesce("_record_weight", F.lit(0)).alias("weight"))
+    first = F.min_by("_id", F.struct(F.col("_id") != F.col("cluster"), -F.col("weight"), "_id"))
+    keepers = placed.groupBy("cluster", "hash").agg(first.alias("keeper")).withColumnsRenamed({"cluster": "__cluster", "hash": "__hash"})
+    keep = placed.join(keepers, (F.col("cluster") == F.col("__cluster")) & F.col("hash").eqNullSafe(F.col("__hash"))).select("_id", "cluster", "keeper")
     out = keep.select("_id", F.col("cluster").alias("_id_cluster"), F.when(F.col("keeper") != F.col("_id"), F.col("keeper")).alias("dedup_new_id"))
     if met is not None:
         out = out.unionByName(met.select("_id", F.col("cluster").alias("_id_cluster"), F.col("twin").alias("dedup_new_id")))

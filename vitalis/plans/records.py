@@ -73,3 +73,7 @@ SQL: dict[str, str] = {
         SELECT row_id, path, coalesce((SELECT arg_max(p.path, length(p.path)) FROM nodes p WHERE p.row_id = nodes.row_id AND p.rim_name IS NOT NULL AND length(p.path) < length(nodes.path) AND starts_with(nodes.path, p.path) AND substr(nodes.path, length(p.path) + 1, 1) IN ('.', '[')), '') AS parent_path, rim_name
         FROM nodes WHERE rim_name IS NOT NULL""",
 }
+SQL["p4_links"] = (
+    SQL["p4_found"].rsplit("SELECT row_id, path, coalesce", 1)[0]
+    + "SELECT o.row_id, o.path AS outer_path, i.path AS inner_path FROM nodes o JOIN nodes i USING (row_id) WHERE o.rim_name = 'Section' AND i.rim_name = 'Observation' AND starts_with(i.path, o.path) AND substr(i.path, length(o.path) + 1, 1) IN ('.', '[')"
+)
