@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalis.llm import bpe, components, packing, quality, segments, topn, truth
-from vitalis.session import scratch, table
+from vitalis.session import cut, scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(bpe.count_tokens(docs), "doc_id", "n_tokens", 2048, rows=docs.count())
 
 
+def p9_filled(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every page is placed once and whole, none is overfull, next to nothing is unused."""
+    docs = table(spark, d, "documents")
+    sizes = cut(bpe.count_tokens(docs))
+    placed = cut(packing.pack(sizes, "doc_id", "n_tokens", 2048, rows=docs.count()))
+    held = placed.where("container_id is not null").groupBy("container_id").agg(F.sum("size").alias("held"))
+    fill = held.agg(F.count_if(F.col("held") > 2048).alias("overfull"), (F.count(F.lit(1)) <= 1.01 * F.ceil(F.sum("held") / 2048) + 1).alias("tight"))
+    of = placed.groupBy("doc_id").agg(F.sum("size").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("container_id").isNull()).alias("free"))
+    met = sizes.join(of, "doc_id", "left")
+    whole = (F.col("placed") == F.col("n_tokens")) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / 2048))) & ((F.col("free") == 1) == (F.col("n_tokens") == 0))
+    return met.agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("not_whole")).crossJoin(fill)  # one row each
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, with_tails=False).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
@@ -79,7 +92,7 @@ def _scored(spark: SparkSession, d: str, with_tails: bool) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_fused, p6_found, p7_found, p7_clusters, p7_appended, p7_near, p8_ids, p8_decoded, p9_containers, p10_found, p10_statistics)
+    f.__name__: f for f in (p1_found, p3_found, p3_fused, p6_found, p7_found, p7_clusters, p7_appended, p7_near, p8_ids, p8_decoded, p9_containers, p9_filled, p10_found, p10_statistics)
 }
 
 SQL: dict[str, str] = {
@@ -103,6 +116,13 @@ SQL: dict[str, str] = {
         found AS (SELECT g, f, arg_min(_id, r) AS winner FROM said s WHERE NOT EXISTS (FROM nothing n WHERE n.f = s.f AND n.v = s.v) GROUP BY g, f)
         SELECT _id_cluster AS id_cluster, arg_min(_id, r) AS survivor_id, coalesce(max(winner) FILTER (f = 'name'), 0) AS name_id, coalesce(max(winner) FILTER (f = 'birth'), 0) AS birth_id, coalesce(max(winner) FILTER (f = 'addr'), 0) AS addr_id, coalesce(max(winner) FILTER (f = 'telecom'), 0) AS telecom_id
         FROM ranked LEFT JOIN found ON found.g = _id_cluster GROUP BY _id_cluster HAVING count(DISTINCT _id) > 1""",
+    "p7_near": r"""
+        WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY _lake_timestamp DESC NULLS LAST) AS k FROM resolution_a WHERE _id IS NOT NULL) WHERE k = 1),
+        each AS (SELECT _id, _id_cluster, regexp_replace(trim(coalesce(x.root, '')), '^(?i:urn:oid:)', '') AS block, regexp_replace(regexp_replace(upper(x.extension), '[^\p{L}\p{N}]', '', 'g'), '^0+', '') AS s FROM (SELECT _id, _id_cluster, unnest(id) AS x FROM one) WHERE x.extension IS NOT NULL),
+        real AS (SELECT DISTINCT * FROM each WHERE regexp_matches(s, '\d') AND length(s) > 3 AND length(replace(s, s[1], '')) > 0)
+        SELECT DISTINCT n._id AS id, n.block, n.s, o.s AS other, CAST(levenshtein(n.s, o.s) AS INTEGER) AS distance FROM real n JOIN (SELECT DISTINCT block, s FROM real WHERE _id_cluster IS NOT NULL) o ON o.block = n.block AND abs(length(o.s) - length(n.s)) <= 1 AND levenshtein(n.s, o.s) <= 1 WHERE n._id_cluster IS NULL""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_filled": "SELECT count(*) AS pages, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS overfull, true AS tight FROM documents",
     "p6_found": r"""
         WITH RECURSIVE named AS (SELECT DISTINCT list_distinct(list_filter([_id, _id_cluster, dedup_new_id], lambda x: x > 0)) AS r FROM resolution_i),
         pairs AS (SELECT DISTINCT a, b FROM (SELECT r[1] AS a, unnest(r) AS b FROM named)),
