@@ -51,6 +51,59 @@ def test_fhir_updates(spark):
     assert (r["name"], r["birth_time"], r["gender"], r["scoper"]) == ("J Doe", "20101010", "F", None)
 
 
+def test_fhir_patient_and_practitioner_in_full(spark):
+    extension = lambda of: f'<extension url="x"><valueIdentifier><system value="urn:oid:2.999.1"/><value value="{of}"/></valueIdentifier></extension>'
+    x = (
+        '<Patient xmlns="http://hl7.org/fhir"><identifier><system value="urn:oid:2.999.2"/><value value="77"/></identifier><identifier><system value="urn:oid:2.999.3"/><value value="P1"/><period><start value="2010-05-21T00:00:00"/></period>'
+        f'<assigner>{extension("I1")}<reference value="Organization/5"/></assigner></identifier><name><use value="usual"/><family value="Doe"/><given value="Ann"/></name><name><use value="maiden"/><family value="Roe"/></name>'
+        '<telecom><system value="email"/><value value="a@b.example"/><use value="home"/></telecom><telecom><system value="phone"/><value value="06"/><use value="mobile"/></telecom><gender><coding><code value="F"/></coding></gender><birthDate value="1951-09-09T00:00:00"/>'
+        '<address><line value="Road 1"/><city value="TOWN"/><zip value="1234AB"/><period><start value="2013-05-21T00:00:00"/></period></address>'
+        f'<careProvider>{extension("G1")}<extension url="r"><valueString value="GP"/></extension><extension url="t"><valueDateTime value="2013-05-21T00:00:00"/></extension></careProvider><managingOrganization><reference value="Organization/9"/></managingOrganization></Patient>'
+    )
+    y = '<Practitioner xmlns="http://hl7.org/fhir"><identifier><system value="urn:oid:2.999.4"/><value value="8"/></identifier><name><family value="Poe"/></name><specialty><coding><code value="specialist"/></coding></specialty></Practitioner>'
+    r, q = (row["o"] for row in spark.createDataFrame([(1, x), (2, y)], "k int, p string").select("k", fhir_person(F.col("p")).alias("o")).orderBy("k").collect())
+    assert [tuple(i) for i in r["id"]] == [("2.999.2", "77")] and r["name"] == "Ann Doe" and [t["use"] for t in r["telecom"]] == ["H", "MC"]
+    assert (r["birth_time"], r["gender"], r["scoper"]) == ("19510909000000", "F", "Organization/9")
+    assert [tuple(a) for a in r["addr"]] == [("Road 1", "TOWN", "1234AB", "20130521000000")]
+    h, g = r["policy_holder"][0], r["care_giver"][0]
+    assert (h["id"]["extension"], h["low"], h["insurer"]["extension"]) == ("P1", "20100521000000", "I1") and (g["code"], g["low"], g["id"]["extension"]) == ("GP", "20130521000000", "G1")
+    assert q["qualification"] == ["specialist"] and q["policy_holder"] in ([], None) and q["name"] == "Poe"
+
+
+def test_poison_messages_are_set_aside_alone(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(12):
+        (source / f"{k}.xml").write_text(f'<ClinicalDocument n="{k}"/>' if k else "<broken")
+    bad = F.col("payload").contains('"3"') | F.col("payload").contains('"7"')
+    load = lambda df: df.select(F.when(bad, F.raise_error(F.lit("cannot be loaded"))).otherwise(F.col("payload")).alias("payload"))
+    p = Pipeline(spark, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/state", load=load)
+    df = messages(spark, str(source)).withColumn("routing_key", F.lit("a.hl7v3.b"))
+    p.batch(df, 1)
+    assert (p.sent, p.loaded, p.quarantined) == (12, 9, 3)
+    p.batch(df, 1)  # run again after a failure: replaced, not added
+    assert spark.read.schema("payload string").parquet(f"{tmp_path}/good").count() == 9
+    aside = spark.read.parquet(f"{tmp_path}/bad").collect()
+    assert sorted(r["type"] for r in aside) == ["load", "load", "validation"] and all("cannot be loaded" in r["reason"] for r in aside if r["type"] == "load")
+
+
+def test_failures_of_the_machines_set_nothing_aside(spark, tmp_path):
+    def full(df):
+        raise OSError("No space left on device")
+
+    p = Pipeline(spark, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/state", load=full)
+    with pytest.raises(OSError):
+        p.batch(spark.createDataFrame([(CDA, "a.hl7v3.b")], "payload string, routing_key string"), 1)
+    assert p.sent == 0 and not (tmp_path / "bad").exists()
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    base = spark.range(200).withColumn("age", F.lit(40))
+    number = bayes.Numeric("x", 100.0, 5.0, {"age": 0.5})
+    one, many = (sorted(map(tuple, bayes.sample(b, [number], 3, key=["id"]).collect())) for b in (base.coalesce(1), base.repartition(7)))
+    assert one == many and abs(sum(r[2] for r in one) / 200 - 120) < 1.5
+
+
 def test_versioned_tables(spark, tmp_path):
     t = VersionedTable(spark, f"{tmp_path}/t")
     assert t.read() is None

@@ -35,6 +35,26 @@ def weighted(df: DataFrame, update: Column, id_col: str, name_col: str, links: l
     return df.withColumn("_record_weight", weight)
 
 
+#: fixed values: what counts for the weight of a kind of record besides its identifiers and name (1 each), and what links it (100 each)
+_OF_ROLES = "nullFlavor realmCode typeId templateId classCode code negationInd addr telecom statusCode effectiveTime certificateText confidentialityCode quantity priorityNumber positionNumber".split()
+WEIGHED = {
+    "Organization": ([], "nullFlavor realmCode typeId templateId classCode determinerCode code quantity desc statusCode existenceTime telecom riskCode handlingCode addr standardIndustryClassCode".split()),
+    "Role": (["player", "scoper"], _OF_ROLES),
+    "Patient": (["player", "scoper"], [*_OF_ROLES, "veryImportantPersonCode"]),
+    "LicensedEntity": (["player", "scoper"], [*_OF_ROLES, "recertificationTime"]),
+}
+#: fixed values: those that say nothing about the thing itself, and so aren't part of the hash
+NO_CONTENT = ("realmCode", "typeId", "templateId")
+
+
+def weighted_and_hashed(df: DataFrame, kind: str) -> DataFrame:
+    """df with _record_weight and _record_hash as records of a kind have them; columns that it lacks count as null."""
+    links, others = WEIGHED[kind]
+    full = df.withColumns({c: F.lit(None).cast("string") for c in ["name", *links, *others] if c not in df.columns})
+    heavy = weighted(full, F.col("_mif").startswith("TZDU"), "id", "name", links, others)
+    return hashed(heavy, ["name", *[c for c in others if c not in NO_CONTENT]]).select(*df.columns, "_record_weight", "_record_hash")
+
+
 def hashed(df: DataFrame, columns: list[str], name: str = "_record_hash") -> DataFrame:
     """Adds a hash of the content; ids and foreign keys are no content and must not be among the columns."""
     return df.withColumn(name, F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))

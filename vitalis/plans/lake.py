@@ -71,7 +71,10 @@ def _fhir(spark: SparkSession, d: str) -> DataFrame:
     organization = of('<Organization xmlns="http://hl7.org/fhir"><identifier><system value="urn:oid:2.999.7"/><value value="', key, '"/></identifier><name value="', F.col("s_name"), '"/><telecom><system value="phone"/><value value="0', key, '"/><use value="', use, '"/></telecom><partOf><reference value="Organization/', nation, '"/></partOf></Organization>')
     key = F.col("c_custkey").cast("string")
     gender = F.when(F.col("c_custkey") % 2 == 0, "female").otherwise("male")
-    patient = of('<Patient xmlns="http://hl7.org/fhir"><identifier><system value="urn:oid:2.999.8"/><value value="', key, '"/></identifier><name><family value="', F.col("c_name"), '"/><given value="A"/></name><birthDate value="1950-02-0', F.col("c_custkey") % 9 + 1, '"/><gender value="', gender, '"/></Patient>')
+    patient = of('<Patient xmlns="http://hl7.org/fhir"><identifier><system value="urn:oid:2.999.8"/><value value="', key, '"/></identifier><name><family value="', F.col("c_name"), '"/><given value="A"/></name><birthDate value="1950-02-0', F.col("c_custkey") % 9 + 1, '"/><gender value="', gender, '"/>'
+        '<identifier><system value="urn:oid:2.999.9"/><value value="P', key, '"/><period><start value="2010-05-21T00:00:00"/></period><assigner><extension url="i"><valueIdentifier><system value="urn:oid:2.999.10"/><value value="', F.col("c_nationkey").cast("string"), '"/></valueIdentifier></extension></assigner></identifier>'
+        '<address><line value="Road ', key, '"/><city value="Town"/><zip value="1234AB"/></address><careProvider><extension url="i"><valueIdentifier><system value="urn:oid:2.999.11"/><value value="G', key, '"/></valueIdentifier></extension><extension url="r"><valueString value="GP"/></extension>'
+        '<extension url="t"><valueDateTime value="2013-05-21T00:00:00"/></extension></careProvider></Patient>')
     return s.select(organization.alias("payload"), F.lit("in.fhir").alias("routing_key")).unionByName(c.select(patient.alias("payload"), F.lit("in.fhir").alias("routing_key")))
 
 
@@ -80,10 +83,10 @@ def fhir_updates(spark: SparkSession, d: str) -> DataFrame:
     m = ingest.classified(_fhir(spark, d)).where("error is null")
     o = m.where("root = 'Organization'").select("content_type", ingest.fhir_organization(F.col("payload")).alias("x"))
     p = m.where("root = 'Patient'").select("content_type", ingest.fhir_person(F.col("payload")).alias("x"))
-    first = F.col("x.id")[0]
+    first, policy, giver = F.col("x.id")[0], F.col("x.policy_holder")[0], F.col("x.care_giver")[0]
     none = F.lit(None).cast("string")
-    o = o.select("content_type", first["root"].alias("root"), first["extension"].alias("extension"), "x.name", F.col("x.telecom")[0]["use"].alias("use"), "x.part_of", none.alias("birth_time"), none.alias("gender"))
-    p = p.select("content_type", first["root"].alias("root"), first["extension"].alias("extension"), "x.name", none.alias("use"), none.alias("part_of"), "x.birth_time", "x.gender")
+    o = o.select("content_type", first["root"].alias("root"), first["extension"].alias("extension"), "x.name", F.col("x.telecom")[0]["use"].alias("use"), "x.part_of", *[none.alias(n) for n in ("birth_time", "gender", "street", "policy", "policy_low", "insurer", "care_giver", "care_code", "care_low")])
+    p = p.select("content_type", first["root"].alias("root"), first["extension"].alias("extension"), "x.name", none.alias("use"), none.alias("part_of"), "x.birth_time", "x.gender", F.col("x.addr")[0]["street"].alias("street"), policy["id"]["extension"].alias("policy"), policy["low"].alias("policy_low"), policy["insurer"]["extension"].alias("insurer"), giver["id"]["extension"].alias("care_giver"), giver["code"].alias("care_code"), giver["low"].alias("care_low"))
     return o.unionByName(p)
 
 
@@ -96,6 +99,33 @@ def message_counters(spark: SparkSession, d: str) -> DataFrame:
     return ingest.counters(ingest.classified(sent).where("error is null"))
 
 
+def message_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Acts sent as messages of which some have no route, a root that nobody knows, or no end: their errors as XML, read again."""
+    a = table(spark, d, "act").where("_id is not null")
+    root = F.when(F.col("rim_class") == "Document", "ClinicalDocument").otherwise("Unknown")
+    end = F.when(F.col("status_code") == "active", F.lit("")).otherwise(F.concat(F.lit("</"), root, F.lit(">")))
+    key = F.when(F.col("mood_code") == "EVN", "in.hl7v3.x").otherwise("in.other")
+    sent = a.select(F.concat(F.lit("<"), root, F.lit('><id a="1 &lt; 2"/>'), end).alias("payload"), key.alias("routing_key"))
+    failed = ingest.classified(sent).where("error is not null").select(ingest.envelope(F.col("error.type"), F.col("error.reason"), F.col("payload")).alias("e"))
+    x = F.from_xml("e", "type string, reason string, source string")
+    return failed.select(x["type"].alias("type"), x["reason"].alias("reason"), x["source"].startswith("<").alias("whole")).groupBy("type", "reason", "whole").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weight_hash_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of organizations, patients and licensed entities, and how many differ in content."""
+    ident = lambda k: F.when(k % 4 != 0, F.array(F.struct(F.lit("R").alias("root"), k.cast("string").alias("extension"))))
+    mif = lambda k: F.when(k % 3 == 0, "TZDU_MT000001UV").otherwise("POCD_MT000040")
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    o = s.select(ident(F.col("s_suppkey")).alias("id"), mif(F.col("s_suppkey")).alias("_mif"), "s_name", F.col("s_nationkey").cast("string").alias("code")).withColumnRenamed("s_name", "name")
+    p = c.select(ident(F.col("c_custkey")).alias("id"), mif(F.col("c_custkey")).alias("_mif"), F.col("c_custkey").alias("player"), F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")).alias("scoper"), F.col("c_mktsegment").alias("code"), F.lit("t").alias("typeId"))
+    e = s.select(ident(F.col("s_suppkey")).alias("id"), mif(F.col("s_suppkey")).alias("_mif"), F.col("s_suppkey").alias("player"), F.when(F.col("s_acctbal") > 0, "2020").alias("recertificationTime"))
+    out = None
+    for kind, df in (("Organization", o), ("Patient", p), ("LicensedEntity", e)):
+        one = staging.weighted_and_hashed(df, kind).groupBy(F.lit(kind).alias("kind"), F.col("_record_weight").cast("long").alias("weight")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_record_hash").alias("contents"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def stream_poison(spark: SparkSession, d: str) -> DataFrame:
     """Regions as messages of which one makes the load fail: it alone is set aside, the others are loaded."""
     at = scratch(spark, "poison")
@@ -218,7 +248,7 @@ def json_build(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        er_batch, er_applied, act_provisions, fhir_updates, message_counters, stream_poison, gen_organizations, gen_visits, gen_masked, gen_sizes, versioned_table, analysed_table, unit_file,
+        er_batch, er_applied, act_provisions, fhir_updates, message_counters, message_errors, weight_hash_entities, stream_poison, gen_organizations, gen_visits, gen_masked, gen_sizes, versioned_table, analysed_table, unit_file,
         message_files, id_ranges, id_root_filter, bool_over, json_build,
     )
 }
@@ -245,10 +275,15 @@ SQL = {
     "er_batch": f"WITH RECURSIVE {_ER_BATCH} SELECT * FROM er",
     "er_applied": f"WITH RECURSIVE {_ER_BATCH}, kept AS (SELECT _id_cluster, count(*) AS kept FROM er WHERE dedup_new_id IS NULL GROUP BY _id_cluster) SELECT kept, count(*) AS clusters, CAST(0 AS BIGINT) AS broken FROM kept GROUP BY kept",
     "act_provisions": "SELECT c_custkey * 10 + x AS act_id, 'CP-' || c_nationkey AS care_provision, c_custkey AS patient_id FROM customer, (VALUES (0), (1), (2), (3), (9)) t(x)",
-    "fhir_updates": """SELECT 'TZDU_IN000001UV' AS content_type, '2.999.7' AS root, CAST(s_suppkey AS VARCHAR) AS extension, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'HP' ELSE 'WP' END AS use, 'Organization/' || s_nationkey AS part_of, NULL AS birth_time, NULL AS gender FROM supplier
-        UNION ALL SELECT 'TZDU_IN000003UV', '2.999.8', CAST(c_custkey AS VARCHAR), 'A ' || c_name, NULL, NULL, '1950020' || (c_custkey % 9 + 1), CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END FROM customer""",
+    "fhir_updates": """SELECT 'TZDU_IN000001UV' AS content_type, '2.999.7' AS root, CAST(s_suppkey AS VARCHAR) AS extension, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'HP' ELSE 'WP' END AS use, 'Organization/' || s_nationkey AS part_of, NULL AS birth_time, NULL AS gender, NULL AS street, NULL AS policy, NULL AS policy_low, NULL AS insurer, NULL AS care_giver, NULL AS care_code, NULL AS care_low FROM supplier
+        UNION ALL SELECT 'TZDU_IN000003UV', '2.999.8', CAST(c_custkey AS VARCHAR), 'A ' || c_name, NULL, NULL, '1950020' || (c_custkey % 9 + 1), CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END, 'Road ' || c_custkey, 'P' || c_custkey, '20100521000000', CAST(c_nationkey AS VARCHAR), 'G' || c_custkey, 'GP', '20130521000000' FROM customer""",
     "message_counters": """SELECT CASE rim_class WHEN 'Document' THEN 'CDA_R2' ELSE 'TZDU_IN000003UV' END AS content_type, count(*) AS messages, CAST(sum(length(CAST(_id AS VARCHAR)) + CASE rim_class WHEN 'Document' THEN 55 ELSE 49 END) AS BIGINT) AS characters, count(*) FILTER (rim_class = 'Document') AS documents
         FROM act WHERE _id IS NOT NULL AND mood_code = 'EVN' AND rim_class IN ('Document', 'Act') GROUP BY rim_class""",
+    "message_errors": """SELECT CASE WHEN mood_code IS DISTINCT FROM 'EVN' THEN 'unrouted' WHEN status_code = 'active' THEN 'validation' ELSE 'internal' END AS type, CASE WHEN mood_code IS DISTINCT FROM 'EVN' THEN 'no route for in.other' WHEN status_code = 'active' THEN 'not well-formed' ELSE 'unknown root element Unknown' END AS reason, true AS whole, count(*) AS n
+        FROM act WHERE _id IS NOT NULL AND (mood_code IS DISTINCT FROM 'EVN' OR status_code = 'active' OR rim_class IS DISTINCT FROM 'Document') GROUP BY ALL""",
+    "weight_hash_entities": """WITH s AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 2000 ELSE 0 END + CASE WHEN s_suppkey % 4 <> 0 THEN 1000 ELSE 0 END AS w, * FROM supplier), c AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 2000 ELSE 0 END + CASE WHEN c_custkey % 4 <> 0 THEN 1000 ELSE 0 END AS w, * FROM customer)
+        SELECT 'Organization' AS kind, CAST(w + 101 AS BIGINT) AS weight, count(*) AS n, count(DISTINCT s_name || s_nationkey) AS contents FROM s GROUP BY w UNION ALL SELECT 'Patient', CAST(w + 102 + CASE WHEN c_nationkey > 5 THEN 100 ELSE 0 END AS BIGINT) AS v, count(*), count(DISTINCT c_mktsegment) FROM c GROUP BY v
+        UNION ALL SELECT 'LicensedEntity', CAST(w + 100 + CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END AS BIGINT) AS v, count(*), count(DISTINCT s_acctbal > 0) FROM s GROUP BY v""",
     "stream_poison": """SELECT CASE WHEN r_name = 'EUROPE' THEN 'load' ELSE 'loaded' END AS what, CAST(length('<ClinicalDocument name="' || r_name || '"/>') AS BIGINT) AS size FROM region""",
     "gen_organizations": f"""WITH top AS (SELECT CAST(range AS BIGINT) AS _id FROM range(1, 21)), mid AS (SELECT _id * 1000 + k AS _id, _id AS parent FROM (SELECT _id, unnest(range(1, CAST(10 + floor({_uniform("_id", 5, "parts")} * 50) AS BIGINT) + 2)) AS k FROM top)),
         leaf AS (SELECT _id * 1000 + k AS _id, _id AS parent FROM (SELECT _id, unnest(range(1, CAST(floor({_uniform("_id", 6, "parts")} * 5) AS BIGINT) + 2)) AS k FROM mid))

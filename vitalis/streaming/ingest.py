@@ -71,15 +71,48 @@ def fhir_organization(payload: Column) -> Column:
     return F.struct(ids.alias("id"), x["name"]["_value"].alias("name"), tel.alias("telecom"), x["partOf"]["reference"]["_value"].alias("part_of"))
 
 
-PERSON = "identifier array<struct<system:struct<_value:string>,value:struct<_value:string>>>, name array<struct<family:array<struct<_value:string>>,given:array<struct<_value:string>>>>, birthDate struct<_value:string>, gender struct<_value:string>, managingOrganization struct<reference:struct<_value:string>>"
+_V = "struct<_value:string>"
+_ID = f"struct<system:{_V},value:{_V}>"
+_EXTENSION = f"array<struct<valueIdentifier:{_ID},valueString:{_V},valueDateTime:{_V}>>"
+PERSON = (
+    f"identifier array<struct<system:{_V},value:{_V},period:struct<start:{_V}>,assigner:struct<extension:{_EXTENSION}>>>, name array<struct<family:array<{_V}>,given:array<{_V}>>>, telecom array<struct<system:{_V},value:{_V},use:{_V}>>, "
+    f"birthDate {_V}, gender struct<_value:string,coding:array<struct<code:{_V}>>>, address array<struct<line:array<{_V}>,city:{_V},zip:{_V},period:struct<start:{_V}>>>, "
+    f"careProvider array<struct<extension:{_EXTENSION}>>, managingOrganization struct<reference:{_V},extension:{_EXTENSION}>, specialty array<struct<coding:array<struct<code:{_V}>>>>"
+)
+
+
+def _extension(owner: Column, member: str) -> Column:
+    """The first extension's value of a kind; extensions are told apart by what they hold."""
+    return F.filter(owner["extension"], lambda e: e[member].isNotNull())[0][member]
 
 
 def fhir_person(payload: Column) -> Column:
-    """The update of a patient or practitioner."""
+    """The update of a patient or practitioner, with addresses, policies (identifiers that an insurer assigned) and care givers."""
     x = F.from_xml(payload, PERSON, {"attributePrefix": "_"})
-    ids = F.transform(x["identifier"], lambda i: F.struct(oid_of(i["system"]["_value"]).alias("root"), i["value"]["_value"].alias("extension")))
+    ident = lambda i: F.struct(oid_of(i["system"]["_value"]).alias("root"), i["value"]["_value"].alias("extension"))
+    since = lambda of: compact_time(of["period"]["start"]["_value"]).alias("low")
     part = lambda p: F.transform(x["name"][0][p], lambda v: v["_value"])
-    return F.struct(ids.alias("id"), F.concat_ws(" ", part("given"), part("family")).alias("name"), compact_time(x["birthDate"]["_value"]).alias("birth_time"), F.upper(F.substring(x["gender"]["_value"], 1, 1)).alias("gender"), x["managingOrganization"]["reference"]["_value"].alias("scoper"))
+    policies = F.transform(F.filter(x["identifier"], lambda i: i["assigner"].isNotNull()), lambda i: F.struct(ident(i).alias("id"), since(i), ident(_extension(i["assigner"], "valueIdentifier")).alias("insurer")))
+    givers = F.transform(x["careProvider"], lambda c: F.struct(_extension(c, "valueString")["_value"].alias("code"), compact_time(_extension(c, "valueDateTime")["_value"]).alias("low"), ident(_extension(c, "valueIdentifier")).alias("id")))
+    return F.struct(
+        F.transform(F.filter(x["identifier"], lambda i: i["assigner"].isNull()), ident).alias("id"),
+        F.concat_ws(" ", part("given"), part("family")).alias("name"),
+        F.transform(x["telecom"], lambda t: F.struct(telecom_use(t["use"]["_value"], t["system"]["_value"]).alias("use"), t["value"]["_value"].alias("value"))).alias("telecom"),
+        compact_time(x["birthDate"]["_value"]).alias("birth_time"),
+        F.coalesce(x["gender"]["coding"][0]["code"]["_value"], F.upper(F.substring(x["gender"]["_value"], 1, 1))).alias("gender"),
+        F.transform(x["address"], lambda a: F.struct(F.array_join(F.transform(a["line"], lambda v: v["_value"]), " ").alias("street"), a["city"]["_value"].alias("city"), a["zip"]["_value"].alias("postal_code"), since(a))).alias("addr"),
+        policies.alias("policy_holder"),
+        givers.alias("care_giver"),
+        F.transform(x["specialty"], lambda q: q["coding"][0]["code"]["_value"]).alias("qualification"),
+        x["managingOrganization"]["reference"]["_value"].alias("scoper"),
+    )
+
+
+def envelope(kind: Column, reason: Column, source: Column) -> Column:
+    """An error as XML: its type, the reason, and the message it is about."""
+    plain = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts = [F.concat(F.lit(f"<{n}>"), plain(c), F.lit(f"</{n}>")) for n, c in (("type", kind), ("reason", reason), ("source", source))]
+    return F.concat(F.lit("<error>"), *parts, F.lit("</error>"))
 
 
 def unresolved(updates: DataFrame, reference: str, targets: DataFrame, key: str) -> DataFrame:
@@ -130,8 +163,8 @@ class Pipeline:
         """Loads what it can, and gives (condition, reason) of what it can't."""
         some = fine if here is None else fine.where(here)
         plain = some.drop("__hash", "error")
-        out = self.load(plain) if self.load else plain.select("payload", "routing_key", "ingress_ts", "content_type")
         try:
+            out = self.load(plain) if self.load else plain.select("payload", "routing_key", "ingress_ts", "content_type")
             out.write.mode("overwrite").parquet(f"{path}/part={part}")
             return []
         except Exception as e:
