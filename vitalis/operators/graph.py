@@ -31,6 +31,10 @@ def closure(edges: DataFrame, starts: DataFrame, source: str, target: str, most_
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 
+#: Levels of conduction after which pairs that were there before are taken out.
+LEVELS_UNCHECKED = 4
+
+
 def conduct_context(participations: DataFrame, relations: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """New participations that context conduction gives the acts below, with the original's id in origin.
 
@@ -53,14 +57,16 @@ def conduct_context(participations: DataFrame, relations: DataFrame, most_rounds
         some = frontier if level == 1 else frontier.where("__on")
         step = some.join(edges, F.col("act") == F.col("__from")).where(F.col("__to") != F.col("__first"))
         step = step.select("_id", "__on", "__first", F.col("__to").alias("act")).distinct()
-        frontier = cut(step.join(reduce(DataFrame.unionByName, levels), ["_id", "act"], "left_anti"))
+        if level % LEVELS_UNCHECKED == 0:  # repeated pairs do no harm, but on a cycle they never end
+            step = step.join(reduce(DataFrame.unionByName, levels), ["_id", "act"], "left_anti")
+        frontier = cut(step)
         if frontier.isEmpty():
             break
         levels.append(frontier.select("_id", "act"))
     else:
         raise RuntimeError(f"not conducted after {most_rounds} levels")
     reached = reduce(DataFrame.unionByName, levels[1:], levels[0].limit(0)).withColumnRenamed("act", "__act")
-    found = reached.join(seed.drop("act", "origin"), "_id").select(F.col("__act").alias("act"), *own, F.col("__origin").alias("origin")).distinct()
+    found = reached.distinct().join(seed.drop("origin"), "_id").where("act <> __act").select(F.col("__act").alias("act"), *own, F.col("__origin").alias("origin")).distinct()
     there = participations.select(*[F.col(c).alias(f"__{c}") for c in ("act", *own)])
     same = (F.col("act") == F.col("__act")) & (F.col("role") == F.col("__role"))
     for c in own:

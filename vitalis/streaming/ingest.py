@@ -65,7 +65,15 @@ ORGANIZATION = "identifier array<struct<system:struct<_value:string>,value:struc
 
 def fhir_organization(payload: Column) -> Column:
     """The update of an organization: identifiers with plain OIDs, telecoms with use codes, and what it is part of."""
-    x = F.from_xml(payload, ORGANIZATION, {"attributePrefix": "_"})
+    return _once(F.from_xml(payload, ORGANIZATION, {"attributePrefix": "_"}), _organization)
+
+
+def _once(parsed: Column, build: Callable[[Column], Column]) -> Column:
+    """build(parsed), where the text is parsed once and not for each member that is asked for."""
+    return F.transform(F.array(parsed), build)[0]
+
+
+def _organization(x: Column) -> Column:
     ids = F.transform(x["identifier"], lambda i: F.struct(oid_of(i["system"]["_value"]).alias("root"), i["value"]["_value"].alias("extension")))
     tel = F.transform(x["telecom"], lambda t: F.struct(telecom_use(t["use"]["_value"], t["system"]["_value"]).alias("use"), t["value"]["_value"].alias("value")))
     return F.struct(ids.alias("id"), x["name"]["_value"].alias("name"), tel.alias("telecom"), x["partOf"]["reference"]["_value"].alias("part_of"))
@@ -88,7 +96,10 @@ def _extension(owner: Column, member: str) -> Column:
 
 def fhir_person(payload: Column) -> Column:
     """The update of a patient or practitioner, with addresses, policies (identifiers that an insurer assigned) and care givers."""
-    x = F.from_xml(payload, PERSON, {"attributePrefix": "_"})
+    return _once(F.from_xml(payload, PERSON, {"attributePrefix": "_"}), _person)
+
+
+def _person(x: Column) -> Column:
     ident = lambda i: F.struct(oid_of(i["system"]["_value"]).alias("root"), i["value"]["_value"].alias("extension"))
     since = lambda of: compact_time(of["period"]["start"]["_value"]).alias("low")
     part = lambda p: F.transform(x["name"][0][p], lambda v: v["_value"])
