@@ -305,6 +305,38 @@ def test_identifier_of_very_many_names(spark):
     assert out == {1001: (50, True), 1002: (50, True), 1003: (50, True), 1004: (1004, False), 1005: (1004, False), 1006: (7, True), 1007: (50, True), 1008: (1004, True)}
 
 
+def test_mistyped_identifiers_next_to_one_of_very_many_names(spark):
+    t, wide = D(2020, 1, 1), [("R", "55667788")]
+    data = [(k, k, wide, f"{_letters(k).title()} {_letters(675 - k).title()}", D(1900 + k % 100, 1 + k % 12, 3), "F", f"{_letters(k)} {k}, Town", None, t) for k in range(1, 106)]
+    name, b = data[49][3], data[49][4]
+    data += [
+        (500, 500, [("R", "55667789")], "Cara New", D(2011, 11, 30), "F", None, None, t),
+        (1001, None, [("R", "5566778")], name + "x", b.replace(day=13), "F", None, None, t),  # a digit of the common identifier is missing
+        (1002, None, wide, "Cara Neww", D(2011, 11, 30), "F", None, None, t),  # the common identifier in place of the own one
+        (1003, None, [("R", "5566778")], name, b, None, None, None, t),  # too little agrees for another identifier
+    ]
+    log = spark.createDataFrame([(k, 1) for k in (1001, 1002, 1003)], "id long, batch_no long")
+    out = {r["id"]: (r["id_cluster"], r["known"]) for r in segments.append_batches(spark.createDataFrame(data, RECORD), log).collect()}
+    # 1003 has the identifier of 1001, and its name and date of birth, so it comes with that person, though it isn't known itself
+    assert out == {1001: (50, True), 1002: (500, True), 1003: (50, False)}
+
+
+def test_the_way_of_comparing_does_not_change_the_result(spark, monkeypatch):
+    rng = random.Random(5)
+    names, births = ["Ann Lee", "A. Lee", "Bob Jones", "Maria de Vries", None], [D(1950, 5, 5), D(1950, 5, 31), D(1980, 1, 1), None]
+    data, log = [], []
+    for k in range(1, 71):
+        ids = [("R", x) for x in rng.sample(["71208012", "7120801", "99887766", "5544332"], rng.choice([1, 1, 2, 3]))]
+        old = rng.random() < 0.4
+        data.append((k, max(1, k - rng.choice([0, 1, 7])) if old else None, ids, rng.choice(names), rng.choice(births), rng.choice(["F", "M", None]), rng.choice(["Road 5, Town", "Else 1, City", None]), rng.choice(["0612345678", None]), D(2020, 1, 1)))
+        log += [] if old else [(k, rng.choice([1, 2]))]
+    df, log, found = spark.createDataFrame(data, RECORD), spark.createDataFrame(log, "id long, batch_no long"), []
+    for most in (4, 1000):
+        monkeypatch.setattr(segments, "MOST_PAIRED", most)
+        found.append({r["id"]: (r["id_cluster"], r["known"]) for r in segments.append_batches(df, log).collect()})
+    assert found[0] == found[1] and len(found[0]) == log.count()
+
+
 def test_blocking_keys_miss_no_agreeing_details(spark):
     rng = random.Random(4)
     names = ["Ann Lee", "An Leeh", "A. Lee", "Lee Ann", "Ann Lee-Smith", "Ann Smith", "Bob Jones", "Bo Jonas", "Maria de Vries", "Mariah Devries", "Vries", "Al", None, None]

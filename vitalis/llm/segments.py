@@ -280,30 +280,36 @@ def _profiled(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("kind", kind).withColumn("what", F.to_json(F.struct(*_DETAILS)))
 
 
-def _blocking(rows: DataFrame, probe: bool, kinds: str = "kind") -> DataFrame:
+def _birth_keys(probe: bool) -> Column:
+    """array of keys, of which dates of birth that agree() have one in common."""
+    birth, text = F.col("birth"), lambda t, *x: F.concat_ws("|", F.lit(t), *x)
+    day = F.unix_date(F.to_date(birth, "yyyyMMdd"))
+    span = F.floor(day / 32)
+    spans, days = ([span - 1, span, span + 1], [day - 366, day - 365, day + 365, day + 366]) if probe else ([span], [day])
+    births = [*[text("span", x) for x in spans], *[text("day", x) for x in days], text("digits", F.array_join(F.array_sort(F.split(birth, "")), ""))]
+    births += [text("but", F.lit(k), F.substring(birth, 1, k), F.substring(birth, k + 2, 8)) for k in range(8)]
+    return F.when(birth.isNotNull(), F.array(*births))
+
+
+def _blocking(rows: DataFrame, probe: bool) -> DataFrame:
     """rows by (other, key): details that agree() have a key in common, given as other the kind of the indexed one.
 
     Dates of birth that agree share a span of 32 days or one next to it, all digits but one, the digits in any order, or
     are a year apart. Without two dates, names that agree share a segment of the name or of the family name, a part of
-    it, or the words in any order; with two other dates they are equal. With neither, addresses and telephones count,
-    for rows whose kinds have nothing in common.
+    it, or the words in any order; with two other dates they are equal. Rows whose kinds have nothing in common agree
+    without any key; those of them have one whose addresses or telephones are near.
     """
     two, one = SegmentIndex(2), SegmentIndex(1)
-    name, birth, family, text = F.col("name"), F.col("birth"), F.col("family"), lambda t, *x: F.concat_ws("|", F.lit(t), *x)
+    name, family, text = F.col("name"), F.col("family"), lambda t, *x: F.concat_ws("|", F.lit(t), *x)
 
     def near_keys(t: str, index: SegmentIndex, c: str) -> Column:
         found = index.substrings_of(F.col(c)) if probe else index.segments_of(F.col(c))
         return F.when(F.col(c) != "", F.transform(found, lambda x: text(t, x["length"], x["number"], x["segment"])))
 
-    day = F.unix_date(F.to_date(birth, "yyyyMMdd"))
-    span = F.floor(day / 32)
-    spans, days = ([span - 1, span, span + 1], [day - 366, day - 365, day + 365, day + 366]) if probe else ([span], [day])
-    births = [*[text("span", x) for x in spans], *[text("day", x) for x in days], text("digits", F.array_join(F.array_sort(F.split(birth, "")), ""))]
-    births += [text("but", F.lit(k), F.substring(birth, 1, k), F.substring(birth, k + 2, 8)) for k in range(8)]
     parts = F.filter(F.split(family, "[ -]"), lambda x: F.length(x) > 3)
     words = F.array(text("words", F.concat_ws(" ", F.array_sort(F.split(name, "[ -]")))))
     groups = [  # keys, and the details in common (as kind) of the pairs they are for
-        (F.when(birth.isNotNull(), F.array(*births)), (1, 3)),
+        (_birth_keys(probe), (1, 3)),
         (F.when(name.isNotNull(), F.array(text("name", name))), (3,)),
         (F.when(name.isNotNull(), words), (2,)),
         (F.transform(parts, lambda x: text("part", x)), (2,)),
@@ -315,8 +321,7 @@ def _blocking(rows: DataFrame, probe: bool, kinds: str = "kind") -> DataFrame:
     none = F.array().cast("array<string>")
     each = []
     for keys, common in groups:
-        own = F.col(kinds if common == (0,) else "kind")
-        others = F.filter(F.array(*[F.lit(k) for k in range(4)]), lambda k: k.bitwiseAND(F.col("kind")).isin(*common)) if probe else F.array(own)
+        others = F.filter(F.array(*[F.lit(k) for k in range(4)]), lambda k: k.bitwiseAND(F.col("kind")).isin(*common)) if probe else F.array(F.col("kind"))
         each.append(F.struct(F.coalesce(keys, none).alias("keys"), others.alias("others")))
     rows = rows.select("*", F.explode(F.array(*each)).alias("g")).select("*", F.explode("g.others").alias("other"))
     return rows.select("*", F.explode("g.keys").alias("key")).drop("g")
@@ -324,6 +329,9 @@ def _blocking(rows: DataFrame, probe: bool, kinds: str = "kind") -> DataFrame:
 
 #: genders that a record may ask with, as written in features(); empty: none
 _GENDERS = ("", "F", "M")
+#: the score by agree(), without address and telephone, of details with neither name nor date of birth in common; where
+#: both lack a name, their names count as equal
+_UNCOMPARED = "3 * int((kind | kind_b) & 2 = 0) + int(asks = of and of <> '')"
 
 
 def _one_person(profiles: DataFrame, wide: DataFrame | None) -> list[DataFrame]:
@@ -347,7 +355,7 @@ def _one_person(profiles: DataFrame, wide: DataFrame | None) -> list[DataFrame]:
     if wide is not None:  # those with nothing in common to compare; the best of them is the same for all records of a kind and gender
         asks = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(g).alias("asks")) for k in (0, 1) for g in _GENDERS])
         rest = first.select("batch", "block", "s", F.col("kind").alias("kind_b"), F.col("id").alias("id_b"), F.coalesce("gender", F.lit("")).alias("of"), F.explode(asks).alias("x")).select("*", "x.*")
-        rest = rest.where("kind & kind_b = 0 and kind_b >= kind and (asks = of or asks = '' or of = '')").withColumn("score", F.expr("int(asks = of and of <> '')"))
+        rest = rest.where("kind & kind_b = 0 and kind_b >= kind and (asks = of or asks = '' or of = '')").withColumn("score", F.expr(f"if(kind_b > kind, {_UNCOMPARED}, 0)"))
         rest = rest.groupBy("batch", "block", "s", "kind", "asks").agg(F.max(F.struct("kind_b", "score", (-F.col("id_b")).alias("least"))).alias("t"))
         asking = first.select(*under, "kind", "id", F.coalesce("gender", F.lit("")).alias("asks"))
         pairs = pairs.unionByName(asking.join(rest, ["batch", "block", "s", "kind", "asks"]).select(*under, "kind", "id", "t.kind_b", (-F.col("t.least")).alias("id_b"), "t.score"))
@@ -364,29 +372,56 @@ def _one_person(profiles: DataFrame, wide: DataFrame | None) -> list[DataFrame]:
 
 
 def _met_wide(mine: DataFrame, keyed: DataFrame) -> DataFrame:
-    """_met_before() for records under wide identifiers; mine and keyed are _profiled().
+    """_met_before() for records under wide identifiers, by equal identifiers; mine and keyed are _profiled().
 
-    A record that has neither name nor date of birth in common with what a person has under the identifier is compared
-    by address and telephone; else it counts for the person with most records there, of those whose gender is the
-    same, then of those without.
+    Records that have neither name nor date of birth in common are found here by address and telephone only, with no
+    records, as _offered() has all of these.
     """
-    person = ["block", "s", "batch", "person"]
-    profiles = keyed.groupBy(*person, "what", "kind", *_DETAILS).agg(F.count(F.lit(1)).alias("records"))
-    of = keyed.groupBy(*person).agg(F.bit_or("kind").alias("kinds"), *[F.count(F.when(F.coalesce("gender", F.lit("")) == g, 1)).alias(f"n{g}") for g in _GENDERS])
+    profiles = keyed.groupBy("block", "s", "batch", "person", "what", "kind", *_DETAILS).agg(F.count(F.lit(1)).alias("records"))
     under = ["block", "s", "batch", "what"]
     asking = mine.select(*under, "kind", *_DETAILS).distinct()
     fits, score = agree("a", "b")
-    a, b = _blocking(asking, probe=True), _blocking(profiles.join(of.select(*person, "kinds"), person), probe=False, kinds="kinds")
     on = _same_string("a", "b", "other", "key") & (F.col("b.batch") < F.col("a.batch"))
-    met = a.alias("a").join(b.alias("b"), on).where(fits)
-    met = met.select(*[f"a.{c}" for c in under], F.col("b.person").alias("person"), F.col("b.batch").alias("before"), F.col("b.what").alias("other"), score.alias("score"), "b.records").distinct()
+    met = _blocking(asking, probe=True).alias("a").join(_blocking(profiles, probe=False).alias("b"), on).where(fits)
+    records = F.expr("if(a.kind & b.kind = 0, 0, b.records)").alias("records")
+    met = met.select(*[f"a.{c}" for c in under], F.col("b.person").alias("person"), F.col("b.batch").alias("before"), F.col("b.what").alias("other"), score.alias("score"), records).distinct()
     met = met.groupBy(*under, "person", "before").agg(F.max("score").alias("score"), F.sum("records").alias("records"))
-    met = mine.select("id", *under).join(met, under).select("id", "batch", "s", "person", "before", "score", "records")
-    asks = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(g).alias("asks"), (F.col(f"n{g}") > 0).cast("int").alias("same") if g else F.lit(0).alias("same"), (F.col(f"n{g}") + F.col("n") if g else F.col("n") + F.col("nF") + F.col("nM")).alias("records")) for k in range(4) for g in _GENDERS])
-    rest = of.select("*", F.explode(asks).alias("x")).select("block", "s", F.col("batch").alias("before"), "person", "kinds", "x.*").where("kind & kinds = 0 and records > 0")
-    rest = rest.groupBy("block", "s", "before", "kind", "asks").agg(F.max(F.struct("same", "records", (-F.col("person")).alias("least"))).alias("t"))
-    left = mine.withColumn("asks", F.coalesce("gender", F.lit(""))).join(rest, ["block", "s", "kind", "asks"]).where("before < batch")
-    return met.unionByName(left.select("id", "batch", "s", (-F.col("t.least")).alias("person"), "before", F.col("t.same").alias("score"), "t.records"))
+    return mine.select("id", *under).join(met, under).select("id", "batch", "s", "person", "before", "score", "records")
+
+
+def _met_near_wide(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """_met_before() for pairs (block, s, batch, other) of identifiers within tau edits of which one is wide.
+
+    SURELY is more than all details but the date of birth come to, so that agrees, and has a key in common.
+    """
+    full = keyed.where("birth is not null")
+    mine = _profiled(full.where("batch > 0").join(pairs.select("block", "s", "batch").distinct(), ["block", "s", "batch"], "left_semi"))
+    others = _profiled(full.join(pairs.select("block", F.col("other").alias("s")).distinct(), ["block", "s"], "left_semi"))
+    profiles = others.groupBy("block", "s", "batch", "person", "what", *_DETAILS).agg(F.count(F.lit(1)).alias("records"))
+    under = ["block", "s", "batch", "what"]
+    asking = mine.select(*under, *_DETAILS).distinct().join(pairs, ["block", "s", "batch"])
+    a, b = [rows.select("*", F.explode(_birth_keys(probe)).alias("key")) for rows, probe in ((asking, True), (profiles, False))]
+    fits, score = agree("a", "b")
+    on = (F.col("a.block") == F.col("b.block")) & (F.col("a.other") == F.col("b.s")) & (F.col("a.key") == F.col("b.key")) & (F.col("b.batch") < F.col("a.batch"))
+    met = a.alias("a").join(b.alias("b"), on).where(fits & (score >= SURELY))
+    met = met.select(*[f"a.{c}" for c in (*under, "other")], F.col("b.person").alias("person"), F.col("b.batch").alias("before"), F.col("b.what").alias("what_b"), score.alias("score"), "b.records").distinct()
+    return mine.select("id", *under).join(met, under).select("id", "batch", "s", "person", "before", "score", "records")
+
+
+def _offered(keyed: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asking, offers): what agrees under wide identifiers for want of any name or date of birth to compare.
+
+    Every such record of any person does that isn't of another gender, so nobody's pairs are listed: asking (id, batch,
+    kind, asks, strings) has for each record its kind, gender and wide identifiers, and offers (block, s, kind, asks,
+    person, before, score, records) the persons that all records alike in these meet under one of them.
+    """
+    hot = _profiled(keyed.join(wide, ["block", "s"])).withColumn("of", F.coalesce("gender", F.lit("")))
+    asking = hot.where("batch > 0").groupBy("id", "batch", "kind", F.col("of").alias("asks")).agg(F.array_sort(F.collect_set(F.struct("block", "s"))).alias("strings"))
+    profiles = hot.groupBy("block", "s", "batch", "person", F.col("kind").alias("kind_b"), "of").agg(F.count(F.lit(1)).alias("records"))
+    asks = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(g).alias("asks")) for k in range(4) for g in _GENDERS])
+    each = profiles.select("*", F.explode(asks).alias("x")).select("*", "x.*").where("kind & kind_b = 0 and (asks = of or asks = '' or of = '')")
+    offers = each.groupBy("block", "s", "kind", "asks", "person", F.col("batch").alias("before")).agg(F.max(F.expr(_UNCOMPARED)).alias("score"), F.sum("records").alias("records"))
+    return cut(asking), cut(offers)
 
 
 def _persons(rows: DataFrame, wide: DataFrame | None = None) -> DataFrame:
@@ -421,17 +456,23 @@ def _met_before(keyed: DataFrame, tau: int, wide: DataFrame | None = None, index
     person and before are the earlier records' person and batch; equal details of one person are one profile. Under equal
     identifiers details must not contradict each other; under identifiers that are tau edits apart or less, name, date of
     birth and one more must agree. Whole details must be equal. keyed has a person; index is of the strings in it, and is
-    built if none is given. Identifiers of very many details are told apart by their details alone.
+    built if none is given. Details under wide identifiers meet by blocking keys; what agrees there without any is _offered().
     """
-    if wide is not None:
-        hot = cut(_profiled(keyed.join(wide, ["block", "s"])))
-        hot = _met_wide(hot.where("batch > 0"), hot)
-        keyed = keyed.join(wide, ["block", "s"], "left_anti")
     if index is None:
         index = SegmentIndex(tau)
         index.append_many(keyed.groupBy("block", "s").agg(F.min("batch").alias("batch")))
     mine = keyed.where("batch > 0 and (block <> 'whole' or n_ids = 0)")
     pairs = index.probe(mine.select("block", "s", "batch")).where("distance = 0 or block <> 'whole'")
+    if wide is not None:
+        pairs = cut(pairs)
+        hot = cut(_profiled(keyed.join(wide, ["block", "s"])))
+        either = wide.select("block", "s", F.lit(True).alias("wide"))
+        near = pairs.where("distance > 0").join(either, ["block", "s"], "left").join(either.withColumnsRenamed({"s": "other", "wide": "other_wide"}), ["block", "other"], "left")
+        near = cut(near.where("wide or other_wide").select("block", "s", "batch", "other"))
+        hot = _met_wide(hot.where("batch > 0"), hot)
+        if not near.isEmpty():
+            hot = hot.unionByName(_met_near_wide(keyed, near))
+        keyed, mine = [rows.join(wide, ["block", "s"], "left_anti") for rows in (keyed, mine)]
     profiles = keyed.groupBy("block", "s", "batch", "person", *_DETAILS).agg(F.count(F.lit(1)).alias("records"))
     fits, score = agree("a", "b")
     whole, equal = F.col("a.block") == "whole", F.col("a.distance") == 0
@@ -442,10 +483,35 @@ def _met_before(keyed: DataFrame, tau: int, wide: DataFrame | None = None, index
     return met if wide is None else met.unionByName(hot)
 
 
-def _best(met: DataFrame) -> DataFrame:
-    """(id, b): of the clusters that a record agrees with the one with most agreeing details, identifiers, records, the smallest."""
-    ranked = met.groupBy("id", "cluster").agg(F.max("score").alias("score"), F.count_distinct("s").alias("shared"), F.sum("records").alias("records"))
-    return ranked.groupBy("id").agg(F.max(F.struct("score", "shared", "records", (-F.col("cluster")).alias("least"))).alias("b"))
+def _in_clusters(rows: DataFrame, clusters: DataFrame | None) -> DataFrame:
+    """rows of (person, before) with the cluster that the person was given in that batch; by clusters (person, batch, cluster)."""
+    if clusters is None:
+        return rows.withColumn("cluster", F.col("person"))
+    rows = rows.join(clusters.withColumnsRenamed({"person": "__p", "batch": "__b"}), (F.col("person") == F.col("__p")) & (F.col("before") == F.col("__b")), "left")
+    return rows.withColumn("cluster", F.coalesce("cluster", "person"))
+
+
+def _best(met: DataFrame, asking: DataFrame | None = None, offers: DataFrame | None = None) -> DataFrame:
+    """(id, b): of the clusters that a record agrees with the one with most agreeing details, identifiers, records, the smallest.
+
+    asking and offers are as from _offered(), with a cluster. What all records that are alike in asking agree with is
+    ranked once for all of them; only for clusters in met it is added to what a record meets itself. A cluster that isn't
+    in met can't be better than the best of these.
+    """
+    best = lambda score, shared, records: F.struct(score.alias("score"), shared.cast("long").alias("shared"), records.alias("records"), (-F.col("cluster")).alias("least"))
+    if asking is None:
+        ranked = met.groupBy("id", "cluster").agg(F.max("score").alias("score"), F.count_distinct("s").alias("shared"), F.sum("records").alias("records"))
+        return ranked.groupBy("id").agg(F.max(best(F.col("score"), F.col("shared"), F.col("records"))).alias("b"))
+    alike = ["kind", "asks", "strings"]
+    each = asking.select(*alike).distinct().select("*", F.explode("strings").alias("x")).select(*alike, "x.*")
+    offered = each.join(offers, ["block", "s", "kind", "asks"]).groupBy(*alike, "cluster").agg(F.max("score").alias("score_o"), F.collect_set("s").alias("shared_o"), F.sum("records").alias("records_o"))
+    offered = cut(offered)
+    most = offered.groupBy(*alike).agg(F.max(best(F.col("score_o"), F.size("shared_o"), F.col("records_o"))).alias("b"))
+    ranked = met.groupBy("id", "cluster").agg(F.max("score").alias("score"), F.collect_set("s").alias("shared"), F.sum("records").alias("records"))
+    ranked = ranked.join(asking, "id", "left").join(offered, [*alike, "cluster"], "left")
+    shared = F.size(F.array_union("shared", F.coalesce("shared_o", F.array().cast("array<string>"))))
+    own = ranked.select("id", best(F.greatest("score", "score_o"), shared, F.col("records") + F.coalesce("records_o", F.lit(0))).alias("b"))
+    return own.unionByName(asking.join(most, alike).select("id", "b")).groupBy("id").agg(F.max("b").alias("b"))
 
 
 def _decided(new: DataFrame, best: DataFrame) -> DataFrame:
@@ -507,9 +573,11 @@ def append_batch(history: History, records: DataFrame, part: int) -> DataFrame:
     wide = _wide(before.unionByName(own.select(*_KEYED)))
     persons = cut(_persons(rows, wide))
     named = _keyed(rows.join(persons, "id")).select(*_KEYED)
-    met = _met_before(before.unionByName(named), history.tau, wide)
+    every = before.unionByName(named)
+    asking, offers = (None, None) if wide is None else _offered(every, wide)
+    met = _in_clusters(_met_before(every, history.tau, wide), None)
     new = rows.join(persons, "id").select("id", "batch", "person")
-    done = cut(_decided(new, _best(met.withColumnRenamed("person", "cluster"))))
+    done = cut(_decided(new, _best(met, asking, None if wide is None else _in_clusters(offers.where("before < 1"), None))))
     accepted = rows.join(done.select("id", F.col("cluster").alias("person")), "id").withColumn("batch", F.lit(0).cast("long"))
     history.accept(_keyed(accepted), part)
     return done.select("id", F.col("cluster").alias("id_cluster"), "known")
@@ -535,17 +603,17 @@ def append_batches(records: DataFrame, log: DataFrame, tau: int = 1) -> DataFram
     persons = cut(_persons(new, wide))
     named = compared.join(persons, "id", "left").withColumn("person", F.coalesce("cluster", "person"))
     met = cut(_met_before(_keyed(named), tau, wide))
+    asking, offers = (None, None) if wide is None else _offered(_keyed(named), wide)
     new = cut(new.join(persons, "id").select("id", "batch", "person"))
     clusters = None  # (person, batch, cluster) of the batches so far
     found = []
     for k, n in enumerate(numbers, 1):
-        now = met.where(F.col("batch") == k)
-        if clusters is None:
-            now = now.withColumn("cluster", F.col("person"))
+        now = _in_clusters(met.where(F.col("batch") == k), clusters)
+        if wide is None:
+            best = _best(now)
         else:
-            now = now.join(clusters.withColumnsRenamed({"person": "__p", "batch": "__b"}), (F.col("person") == F.col("__p")) & (F.col("before") == F.col("__b")), "left")
-            now = now.withColumn("cluster", F.coalesce("cluster", "person"))
-        done = cut(_decided(new.where(F.col("batch") == k), _best(now)))
+            best = _best(now, asking.where(F.col("batch") == k).drop("batch"), _in_clusters(offers.where(F.col("before") < k), clusters))
+        done = cut(_decided(new.where(F.col("batch") == k), best))
         found.append(done.select("id", F.col("cluster").alias("id_cluster"), F.lit(n).alias("batch_no"), "known"))
         of = done.groupBy("person", "batch").agg(F.min("cluster").alias("cluster"))
         clusters = of if clusters is None else clusters.unionByName(of)
