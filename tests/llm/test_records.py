@@ -364,3 +364,17 @@ def test_one_person_through_a_bridge(spark):
     log = spark.createDataFrame([(k, 2 if k == 13 else 1) for k, *_ in data], "id long, batch_no long")
     out = {r["id"]: r["id_cluster"] for r in segments.append_batches(spark.createDataFrame(data, RECORD), log).collect()}
     assert out == {10: 10, 11: 10, 12: 10, 13: 10, 20: 20, 21: 20, 22: 22}
+
+
+def test_plans_do_not_grow_with_the_batches_before(spark, monkeypatch):
+    data, _ = _mistyped()
+    sizes, in_clusters = [], segments._in_clusters
+
+    def spied(rows, clusters):
+        sizes.append(0 if clusters is None else str(clusters._jdf.queryExecution().analyzed()).count("\n"))
+        return in_clusters(rows, clusters)
+
+    monkeypatch.setattr(segments, "_in_clusters", spied)
+    log = spark.createDataFrame([(k, k) for k, *_ in data if k > 1][:3], "id long, batch_no long")
+    segments.append_batches(spark.createDataFrame(data, RECORD), log)
+    assert len(sizes) == 3 and sizes[1] == sizes[2] > 0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vitalis.llm.components import components
 from vitalis.llm.topn import latest
-from vitalis.session import bounded_rows, cut
+from vitalis.session import bounded_rows, cut, remove, scratch, stored
 
 #: Batches that are worked off one after the other; their numbers go to the driver.
 MOST_BATCHES = 10_000
@@ -260,17 +260,17 @@ def _same_string(a: str, b: str, *more: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in ("block", "s", *more)])
 
 
-def _wide(keyed: DataFrame) -> DataFrame | None:
+def _wide(keyed: DataFrame, folder: str) -> DataFrame | None:
     """(block, s) of the identifiers with more than MOST_PAIRED different details; None if there are none.
 
     Details are only told apart under identifiers that have so many records in the first place.
     """
     named = keyed.where("block <> 'whole'")
-    hot = cut(named.groupBy("block", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PAIRED).select("block", "s"))
+    hot = stored(named.groupBy("block", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_PAIRED).select("block", "s"), folder)
     if hot.isEmpty():
         return None
     details = F.count_distinct(F.xxhash64(*_DETAILS))  # equal hashes would only make a string less wide
-    found = cut(named.join(hot, ["block", "s"]).groupBy("block", "s").agg(details.alias("n")).where(F.col("n") > MOST_PAIRED).select("block", "s"))
+    found = stored(named.join(hot, ["block", "s"]).groupBy("block", "s").agg(details.alias("n")).where(F.col("n") > MOST_PAIRED).select("block", "s"), folder)
     return None if found.isEmpty() else found
 
 
@@ -334,7 +334,7 @@ _GENDERS = ("", "F", "M")
 _UNCOMPARED = "3 * int((kind | kind_b) & 2 = 0) + int(asks = of and of <> '')"
 
 
-def _one_person(profiles: DataFrame, wide: DataFrame | None) -> list[DataFrame]:
+def _one_person(profiles: DataFrame, wide: DataFrame | None, folder: str) -> list[DataFrame]:
     """links (a, b) of records of one batch that state the same person; profiles are _profiled(), wide as in _pairs().
 
     Records with a name and a date of birth are linked with all such records they agree with. One that lacks a detail
@@ -359,13 +359,13 @@ def _one_person(profiles: DataFrame, wide: DataFrame | None) -> list[DataFrame]:
         rest = rest.groupBy("batch", "block", "s", "kind", "asks").agg(F.max(F.struct("kind_b", "score", (-F.col("id_b")).alias("least"))).alias("t"))
         asking = first.select(*under, "kind", "id", F.coalesce("gender", F.lit("")).alias("asks"))
         pairs = pairs.unionByName(asking.join(rest, ["batch", "block", "s", "kind", "asks"]).select(*under, "kind", "id", "t.kind_b", (-F.col("t.least")).alias("id_b"), "t.score"))
-    pairs = cut(pairs)
+    pairs = stored(pairs, folder)
     alike = profiles.where("kind = 3").groupBy("batch", "block", "s", "what").agg(F.min("id").alias("b"))
     alike = profiles.where("kind = 3").join(alike, under).select(F.col("id").alias("a"), "b")
     full = pairs.where("kind = 3 and id < id_b").select(F.col("id").alias("a"), F.col("id_b").alias("b"))
     best = F.max(F.struct("kind_b", F.when(F.col("kind_b") > F.col("kind"), F.col("score")).otherwise(0).alias("score"), (-F.col("id_b")).alias("least")))
     most = pairs.where("kind < 3").groupBy(*under).agg(best.alias("t"))
-    lacking = cut(profiles.where("kind < 3").join(most, under).groupBy("id", "kind").agg(F.max("t").alias("t")).select("id", "kind", F.col("t.kind_b").alias("kind_b"), (-F.col("t.least")).alias("b")))
+    lacking = stored(profiles.where("kind < 3").join(most, under).groupBy("id", "kind").agg(F.max("t").alias("t")).select("id", "kind", F.col("t.kind_b").alias("kind_b"), (-F.col("t.least")).alias("b")), folder)
     alone = lacking.where("kind = kind_b").select("id")
     free = pairs.where("kind in (1, 2) and kind_b = kind and id <> id_b").join(alone, "id").join(alone.withColumnRenamed("id", "id_b"), "id_b")
     return [alike, full, lacking.select(F.col("id").alias("a"), "b"), free.select(F.col("id").alias("a"), F.col("id_b").alias("b"))]
@@ -408,7 +408,7 @@ def _met_near_wide(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
     return mine.select("id", *under).join(met, under).select("id", "batch", "s", "person", "before", "score", "records")
 
 
-def _offered(keyed: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _offered(keyed: DataFrame, wide: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """(asking, offers): what agrees under wide identifiers for want of any name or date of birth to compare.
 
     Every such record of any person does that isn't of another gender, so nobody's pairs are listed: asking (id, batch,
@@ -421,54 +421,58 @@ def _offered(keyed: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
     asks = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(g).alias("asks")) for k in range(4) for g in _GENDERS])
     each = profiles.select("*", F.explode(asks).alias("x")).select("*", "x.*").where("kind & kind_b = 0 and (asks = of or asks = '' or of = '')")
     offers = each.groupBy("block", "s", "kind", "asks", "person", F.col("batch").alias("before")).agg(F.max(F.expr(_UNCOMPARED)).alias("score"), F.sum("records").alias("records"))
-    return cut(asking), cut(offers)
+    return stored(asking, folder), stored(offers, folder)
 
 
-def _persons(rows: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+def _persons(rows: DataFrame, wide: DataFrame | None, folder: str) -> DataFrame:
     """(id, person): records of one batch that state the same person have its smallest record as person.
 
     Under each identifier all different details are compared with each other. Records whose whole details are equal
     belong to one of them, if possible one without identifiers.
     """
+    own = scratch(rows.sparkSession, "links")
     keyed = _keyed(rows)
     shared = keyed.groupBy("batch", "block", "s").agg(F.count(F.lit(1)).alias("n"), F.min("n_ids").alias("least"))
     some = shared.where("n > 1 and (block <> 'whole' or least = 0)").select("batch", "block", "s")
-    left = cut(_profiled(keyed.join(some, ["batch", "block", "s"])))
+    left = stored(_profiled(keyed.join(some, ["batch", "block", "s"])), own)
     whole = left.where("block = 'whole'")
     first = whole.groupBy("batch", "block", "s").agg(F.min_by("id", F.struct("n_ids", "id")).alias("b"))
     links = [whole.join(first, ["batch", "block", "s"]).select(F.col("id").alias("a"), "b")]
     left = left.where("block <> 'whole'")
     if wide is not None:
-        links += _one_person(left.join(wide, ["block", "s"]), wide)
+        links += _one_person(left.join(wide, ["block", "s"]), wide, own)
         left = left.join(wide, ["block", "s"], "left_anti")
-    links += _one_person(left, None)
-    own = rows.select(F.col("id").alias("record_id"))
-    return components(reduce(DataFrame.unionByName, links), own).withColumnsRenamed({"record_id": "id", "group_id": "person"})
+    links += _one_person(left, None, own)
+    # else the rounds would plan again and again what leads to the links
+    each = stored(reduce(DataFrame.unionByName, links), own)
+    persons = components(each, rows.select(F.col("id").alias("record_id"))).withColumnsRenamed({"record_id": "id", "group_id": "person"})
+    persons = stored(persons, folder)
+    remove(rows.sparkSession, own)
+    return persons
 
 
 #: Agreeing details from which an identifier within tau edits counts as mistyped: the name, the date of birth and one more.
 SURELY = 7
 
 
-def _met_before(keyed: DataFrame, tau: int, wide: DataFrame | None = None, index: SegmentIndex | None = None) -> DataFrame:
+def _met_before(keyed: DataFrame, tau: int, wide: DataFrame | None, folder: str) -> DataFrame:
     """(id, batch, s, person, before, score, records): what records of a batch agree with that came before it.
 
     person and before are the earlier records' person and batch; equal details of one person are one profile. Under equal
     identifiers details must not contradict each other; under identifiers that are tau edits apart or less, name, date of
-    birth and one more must agree. Whole details must be equal. keyed has a person; index is of the strings in it, and is
-    built if none is given. Details under wide identifiers meet by blocking keys; what agrees there without any is _offered().
+    birth and one more must agree. Whole details must be equal. keyed has a person. Details under wide identifiers meet by
+    blocking keys; what agrees there without any is _offered().
     """
-    if index is None:
-        index = SegmentIndex(tau)
-        index.append_many(keyed.groupBy("block", "s").agg(F.min("batch").alias("batch")))
+    index = SegmentIndex(tau)
+    index.parts.append(stored(index.segments(keyed.groupBy("block", "s").agg(F.min("batch").alias("batch"))), folder))
     mine = keyed.where("batch > 0 and (block <> 'whole' or n_ids = 0)")
     pairs = index.probe(mine.select("block", "s", "batch")).where("distance = 0 or block <> 'whole'")
     if wide is not None:
-        pairs = cut(pairs)
-        hot = cut(_profiled(keyed.join(wide, ["block", "s"])))
+        pairs = stored(pairs, folder)
+        hot = stored(_profiled(keyed.join(wide, ["block", "s"])), folder)
         either = wide.select("block", "s", F.lit(True).alias("wide"))
         near = pairs.where("distance > 0").join(either, ["block", "s"], "left").join(either.withColumnsRenamed({"s": "other", "wide": "other_wide"}), ["block", "other"], "left")
-        near = cut(near.where("wide or other_wide").select("block", "s", "batch", "other"))
+        near = stored(near.where("wide or other_wide").select("block", "s", "batch", "other"), folder)
         hot = _met_wide(hot.where("batch > 0"), hot)
         if not near.isEmpty():
             hot = hot.unionByName(_met_near_wide(keyed, near))
@@ -491,7 +495,7 @@ def _in_clusters(rows: DataFrame, clusters: DataFrame | None) -> DataFrame:
     return rows.withColumn("cluster", F.coalesce("cluster", "person"))
 
 
-def _best(met: DataFrame, asking: DataFrame | None = None, offers: DataFrame | None = None) -> DataFrame:
+def _best(met: DataFrame, folder: str, asking: DataFrame | None = None, offers: DataFrame | None = None) -> DataFrame:
     """(id, b): of the clusters that a record agrees with the one with most agreeing details, identifiers, records, the smallest.
 
     asking and offers are as from _offered(), with a cluster. What all records that are alike in asking agree with is
@@ -505,7 +509,7 @@ def _best(met: DataFrame, asking: DataFrame | None = None, offers: DataFrame | N
     alike = ["kind", "asks", "strings"]
     each = asking.select(*alike).distinct().select("*", F.explode("strings").alias("x")).select(*alike, "x.*")
     offered = each.join(offers, ["block", "s", "kind", "asks"]).groupBy(*alike, "cluster").agg(F.max("score").alias("score_o"), F.collect_set("s").alias("shared_o"), F.sum("records").alias("records_o"))
-    offered = cut(offered)
+    offered = stored(offered, folder)
     most = offered.groupBy(*alike).agg(F.max(best(F.col("score_o"), F.size("shared_o"), F.col("records_o"))).alias("b"))
     ranked = met.groupBy("id", "cluster").agg(F.max("score").alias("score"), F.collect_set("s").alias("shared"), F.sum("records").alias("records"))
     ranked = ranked.join(asking, "id", "left").join(offered, [*alike, "cluster"], "left")
@@ -515,11 +519,11 @@ def _best(met: DataFrame, asking: DataFrame | None = None, offers: DataFrame | N
 
 
 def _decided(new: DataFrame, best: DataFrame) -> DataFrame:
-    """(id, person, batch, cluster, known) of a batch's records (id, person, batch)."""
-    here = new.join(best, "id", "left")
+    """new (id, person, ...) with cluster and known; a person is of one batch."""
+    here = new.join(best.select("id", "b"), "id", "left")
     of_person = here.groupBy("person").agg(F.max("b").alias("p"))
     cluster = -F.coalesce("b.least", "p.least", -F.col("person"))
-    return here.join(of_person, "person").select("id", "person", "batch", cluster.alias("cluster"), F.col("b").isNotNull().alias("known"))
+    return here.join(of_person, "person").select(*new.columns, cluster.alias("cluster"), F.col("b").isNotNull().alias("known"))
 
 
 class History:
@@ -565,21 +569,24 @@ def append_batch(history: History, records: DataFrame, part: int) -> DataFrame:
 
     Of the history only the strings that the index finds, and the details under them, take part.
     """
-    rows = cut(_latest_features(records).withColumn("batch", F.lit(1).cast("long")))
+    folder = scratch(history.spark, "batch")
+    rows = stored(_latest_features(records).withColumn("batch", F.lit(1).cast("long")), folder)
     own = _keyed(rows.withColumn("person", F.lit(None).cast("long")))
     index = history.index()
-    candidates = cut(index.probe(own.select("block", "s")).select("block", F.col("other").alias("s")))
-    before = cut(history.under(candidates, own.select(*_KEYED)).withColumn("batch", F.lit(0).cast("long")))
-    wide = _wide(before.unionByName(own.select(*_KEYED)))
-    persons = cut(_persons(rows, wide))
+    candidates = stored(index.probe(own.select("block", "s")).select("block", F.col("other").alias("s")), folder)
+    before = stored(history.under(candidates, own.select(*_KEYED)).withColumn("batch", F.lit(0).cast("long")), folder)
+    wide = _wide(before.unionByName(own.select(*_KEYED)), folder)
+    persons = _persons(rows, wide, folder)
     named = _keyed(rows.join(persons, "id")).select(*_KEYED)
     every = before.unionByName(named)
-    asking, offers = (None, None) if wide is None else _offered(every, wide)
-    met = _in_clusters(_met_before(every, history.tau, wide), None)
+    asking, offers = (None, None) if wide is None else _offered(every, wide, folder)
+    met = _in_clusters(_met_before(every, history.tau, wide, folder), None)
     new = rows.join(persons, "id").select("id", "batch", "person")
-    done = cut(_decided(new, _best(met, asking, None if wide is None else _in_clusters(offers.where("before < 1"), None))))
+    best = _best(met, folder, asking, None if wide is None else _in_clusters(offers.where("before < 1"), None))
+    done = stored(_decided(new, best), scratch(history.spark, "done"))
     accepted = rows.join(done.select("id", F.col("cluster").alias("person")), "id").withColumn("batch", F.lit(0).cast("long"))
     history.accept(_keyed(accepted), part)
+    remove(history.spark, folder)
     return done.select("id", F.col("cluster").alias("id_cluster"), "known")
 
 
@@ -597,28 +604,32 @@ def append_batches(records: DataFrame, log: DataFrame, tau: int = 1) -> DataFram
     # batches are numbered from 1 in their order; 0 is what was accepted before all of them
     numbers = sorted(r["logged"] for r in bounded_rows(when.select("logged").distinct(), MOST_BATCHES, "batches"))
     place = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(numbers, 1) for x in (n, k)]), F.col("logged")) if numbers else F.lit(0)
-    compared = cut(compared.withColumn("batch", F.when(F.col("cluster").isNotNull(), 0).otherwise(place)))
+    spark = records.sparkSession
+    folder, kept = scratch(spark, "batches"), scratch(spark, "decided")
+    compared = stored(compared.withColumn("batch", F.when(F.col("cluster").isNotNull(), 0).otherwise(place)), folder)
     new = compared.where("batch > 0")
-    wide = _wide(_keyed(compared))
-    persons = cut(_persons(new, wide))
+    wide = _wide(_keyed(compared), folder)
+    persons = _persons(new, wide, folder)
     named = compared.join(persons, "id", "left").withColumn("person", F.coalesce("cluster", "person"))
-    met = cut(_met_before(_keyed(named), tau, wide))
-    asking, offers = (None, None) if wide is None else _offered(_keyed(named), wide)
-    new = cut(new.join(persons, "id").select("id", "batch", "person"))
-    clusters = None  # (person, batch, cluster) of the batches so far
-    found = []
-    for k, n in enumerate(numbers, 1):
+    met = stored(_met_before(_keyed(named), tau, wide, folder), folder)
+    asking, offers = (None, None) if wide is None else _offered(_keyed(named), wide, folder)
+    new = stored(new.join(persons, "id").select("id", "batch", "person", F.col("logged").alias("batch_no")), kept)
+    # the best of each batch is a part of one table, so that no plan grows with the batches before
+    best = None
+    for k in range(1, len(numbers) + 1):
+        clusters = None if best is None else best.groupBy("person", "batch").agg(F.min(-F.col("b.least")).alias("cluster"))  # a person that met none keeps its own
         now = _in_clusters(met.where(F.col("batch") == k), clusters)
         if wide is None:
-            best = _best(now)
+            found = _best(now, folder)
         else:
-            best = _best(now, asking.where(F.col("batch") == k).drop("batch"), _in_clusters(offers.where(F.col("before") < k), clusters))
-        done = cut(_decided(new.where(F.col("batch") == k), best))
-        found.append(done.select("id", F.col("cluster").alias("id_cluster"), F.lit(n).alias("batch_no"), "known"))
-        of = done.groupBy("person", "batch").agg(F.min("cluster").alias("cluster"))
-        clusters = of if clusters is None else clusters.unionByName(of)
-    none = new.select("id", F.col("person").alias("id_cluster"), F.lit(0).cast("long").alias("batch_no"), F.lit(True).alias("known")).limit(0)
-    return reduce(DataFrame.unionByName, found, none)
+            found = _best(now, folder, asking.where(F.col("batch") == k).drop("batch"), _in_clusters(offers.where(F.col("before") < k), clusters))
+        found = found.join(new.where(F.col("batch") == k), "id").select("id", "person", "batch", "b")
+        found.write.parquet(f"{kept}/best/part={k}")
+        best = spark.read.schema(found.schema).parquet(f"{kept}/best").drop("part")
+    remove(spark, folder)
+    if best is None:
+        return new.select("id", F.col("person").alias("id_cluster"), "batch_no", F.lit(True).alias("known")).limit(0)
+    return _decided(new, best).select("id", F.col("cluster").alias("id_cluster"), "batch_no", "known")
 
 
 def near_identifiers(records: DataFrame, tau: int = 1) -> DataFrame:
